@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeflow.llm.near_dedup import near_duplicates
+from gaugeflow.llm.substrings import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +17,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_read(spark, sf_dir, "documents"), single_spaces=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op5_substring_dedup": op5_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
