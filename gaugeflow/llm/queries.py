@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.near_dedup import near_duplicates
+from gaugeflow.llm.packing import pack, token_pieces
 from gaugeflow.llm.substrings import remove_repeats
+from gaugeflow.llm.tokens import encoded_lengths, length_histogram, public_vocabulary
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +19,20 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(encoded_lengths(_read(spark, sf_dir, "documents"), public_vocabulary()))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_read(spark, sf_dir, "documents"), single_spaces=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op5_substring_dedup": op5_substring_dedup}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(_read(spark, sf_dir, "documents"), public_vocabulary())
+    packed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_token_counts, op5_substring_dedup, op8_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
