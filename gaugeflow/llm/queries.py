@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.near_dedup import near_duplicates
 from gaugeflow.llm.packing import pack, token_pieces
+from gaugeflow.llm.sharding import shuffle_into_shards
 from gaugeflow.llm.substrings import remove_repeats
 from gaugeflow.llm.tokens import encoded_lengths, length_histogram, public_vocabulary
+from gaugeflow.llm.urls import filter_captures, host_of
+from gaugeflow.llm.warc import field, read_archive, record_ids, write_archive
+from gaugeflow.session import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,11 +32,76 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").path("archive")
+    write_archive(_read(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select(
+        record_ids(field("WARC-Record-ID")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        field("WARC-Type").alias("record_type"), record_ids(field("WARC-Refers-To")).alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS last FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM q
+"""
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    light = _read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shuffle_into_shards(light, shards=8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(_read(spark, sf_dir, "documents"), public_vocabulary())
     packed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_token_counts, op5_substring_dedup, op8_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have neither fetch times nor lists, so both follow from rules: a page is fetched at a minute
+    of 90 days set by its id; lists add and remove the hosts that occur, and example domains, at days set by md5."""
+    pages = _read(spark, sf_dir, "pages")
+    day = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {})"
+    captures = pages.select("page_id", "url", F.expr(day.format("pmod(page_id * 7919, 129600)")).alias("fetched"))
+    hosts = pages.select(host_of(F.col("url")).alias("domain")).where("domain is not null").distinct().withColumn("h", F.expr("cast(conv(substr(md5(domain), 1, 6), 16, 10) as bigint)"))
+    rules = [("ads", "h % 3 = 0", "h % 60", "add"), ("ads", "h % 3 = 0", "h % 60 + 20", "remove"), ("ads", "h % 6 = 0", "h % 60 + 30", "add"), ("spam", "h % 4 = 0", "h % 45", "add"), ("spam", "h % 8 = 0", "h % 45 + 15", "remove")]
+    events = [hosts.where(which).select("domain", F.lit(name).alias("list"), F.expr(day.format(f"1440 * ({at})")).alias("at"), F.lit(action).alias("action")) for name, which, at, action in rules]
+    wide = spark.sql(f"SELECT 'example.org' domain, 'wide' list, {day.format('1440 * 10')} at, 'add' action UNION ALL SELECT 'example.org', 'wide', {day.format('1440 * 40')}, 'remove'")
+    for e in events:
+        wide = wide.union(e)
+    return filter_captures(captures, wide)
+
+
+OP10_SQL = """
+WITH c AS (
+  SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)', 2), '') AS host,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes((page_id * 7919) % 129600) AS fetched FROM pages),
+h AS (SELECT DISTINCT host AS domain, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS h FROM c WHERE host IS NOT NULL),
+e AS (
+  SELECT domain, 'ads' AS list, h % 60 AS d, 'add' AS action FROM h WHERE h % 3 = 0
+  UNION ALL SELECT domain, 'ads', h % 60 + 20, 'remove' FROM h WHERE h % 3 = 0
+  UNION ALL SELECT domain, 'ads', h % 60 + 30, 'add' FROM h WHERE h % 6 = 0
+  UNION ALL SELECT domain, 'spam', h % 45, 'add' FROM h WHERE h % 4 = 0
+  UNION ALL SELECT domain, 'spam', h % 45 + 15, 'remove' FROM h WHERE h % 8 = 0
+  UNION ALL SELECT 'example.org', 'wide', 10, 'add' UNION ALL SELECT 'example.org', 'wide', 40, 'remove'),
+o AS (SELECT domain, list, d, max(action) AS action FROM e GROUP BY ALL),
+i AS (SELECT domain, list, action, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(1440 * d) AS since,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(1440 * lead(d) OVER (PARTITION BY domain, list ORDER BY d)) AS until FROM o),
+m AS (
+  SELECT c.page_id, i.domain, i.list, i.since,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY length(i.domain) DESC, i.since DESC, i.list DESC) AS k,
+    count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM c JOIN i ON (c.host = i.domain OR ends_with(c.host, '.' || i.domain)) AND i.action = 'add'
+    AND i.since <= c.fetched AND (i.until IS NULL OR c.fetched < i.until))
+SELECT c.page_id, c.host, c.fetched, coalesce(m.n, 0) AS n_active, m.domain, m.list, m.since, m.page_id IS NOT NULL AS blocked
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.k = 1
+"""
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_token_counts, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op10_url_filters)}
+ORACLE_SQL: dict[str, str] = {"op6_warc_archive": OP6_SQL, "op10_url_filters": OP10_SQL}
