@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.near_dedup import near_duplicates
 from gaugeflow.llm.packing import pack, token_pieces
+from gaugeflow.llm.quality import quality_rules
 from gaugeflow.llm.sharding import shuffle_into_shards
 from gaugeflow.llm.substrings import remove_repeats
 from gaugeflow.llm.tokens import encoded_lengths, length_histogram, public_vocabulary
@@ -27,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(_read(spark, sf_dir, "documents"), public_vocabulary()))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_read(spark, sf_dir, "documents"), single_spaces=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -103,5 +108,5 @@ SELECT c.page_id, c.host, c.fetched, coalesce(m.n, 0) AS n_active, m.domain, m.l
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.k = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_token_counts, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op6_warc_archive": OP6_SQL, "op10_url_filters": OP10_SQL}
