@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.decontaminate import leaked_items
+from gaugeflow.llm.lm import score_documents
 from gaugeflow.llm.near_dedup import near_duplicates
 from gaugeflow.llm.packing import pack, token_pieces
 from gaugeflow.llm.quality import quality_rules
@@ -24,6 +26,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(_read(spark, sf_dir, "documents"), public_vocabulary()))
 
@@ -68,6 +74,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have neither fetch times nor lists, so both follow from rules: a page is fetched at a minute
     of 90 days set by its id; lists add and remove the hosts that occur, and example domains, at days set by md5."""
@@ -108,5 +118,5 @@ SELECT c.page_id, c.host, c.fetched, coalesce(m.n, 0) AS n_active, m.domain, m.l
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.k = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op9_lm_scores, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op6_warc_archive": OP6_SQL, "op10_url_filters": OP10_SQL}
