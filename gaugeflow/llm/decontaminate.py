@@ -71,12 +71,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if not 0 <= radius <= 31:
         raise ValueError("the index of single-bit changes covers a radius of at most 31")
     scratch = Scratch(docs.sparkSession, "leaks")
-    held = scratch.table(_bags(items, item_col, item_text, words).where("size(bag) > 0").select(F.col("id").alias("item_id"), "bag", F.size("bag").alias("size")), "items")
+    # a filter on ``bag`` here would move below the projection and split the text again for every shingle;
+    # so the bags are written first, and the explode of the documents below is an outer one
+    held = scratch.table(_bags(items, item_col, item_text, words).select(F.col("id").alias("item_id"), "bag", F.size("bag").alias("size")), "items").where("size > 0")
     known = scratch.table(held.select(F.explode("bag").alias("h"), "size").groupBy("h").agg(F.collect_set("size").alias("sizes")), "shingles")
     small = known.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
 
-    placed = _bags(docs, id_col, text_col, words).select("id", "bag", F.posexplode("bag").alias("start", "h")).join(hint(known), "h")
+    placed = _bags(docs, id_col, text_col, words).select("id", "bag", F.posexplode_outer("bag").alias("start", "h")).join(hint(known), "h")
     opened = placed.select(F.col("id").alias("doc_id"), "start", "bag", F.explode("sizes").alias("size"))
     window = opened.select("doc_id", "start", "size", F.slice("bag", F.col("start") + 1, F.col("size")).alias("bag"))
     windows = scratch.table(window.select("*", F.xxhash64("bag").alias("k1"), F.xxhash64(F.lit(1), "bag").alias("k2")), "windows")
