@@ -8,10 +8,12 @@ pairs; the exact Jaccard coefficient of the full sets confirms the rest.
 Nothing is capped. Documents with equal sets fold into one node first. A linked pair shares at least
 ``need`` retained values (see ``_need``), so each node enters only the lists of its ``hits - need + 1``
 rarest values: two linked nodes still meet in one of them, while a passage that many texts quote drops
-out unless it fills most of a text. Within a list, nodes are first compared with one hub (the node
-whose values are most common in the corpus, then one picked by hash); lists whose nodes are all in one
-component are then finished, and in the others every pair from different components is compared. So
-groups of copies cost about one comparison a member, and links between components are never skipped.
+out unless it fills most of a text. Small sketches of all documents leave the few nodes that can have a
+partner; those get larger sketches, whose need is nearer to the threshold, and lists of their own.
+Within a list, nodes are first compared with one hub (the node whose values are most common; in further
+hub rounds one picked by hash); lists whose nodes are all in one component are then finished, and in the
+others every pair from different components is compared. So groups of copies cost about one comparison a
+member, and links between components are never skipped.
 
 Defined results: null text, or a text without words, has the empty set and no links; fewer words than
 a shingle give one shingle of all words; rows that share a doc_id are one node; a null doc_id has
@@ -103,7 +105,7 @@ def _need(n: Column, k: int, percent: int, loss: float) -> Column:
     return F.greatest(F.lit(1), F.when(n <= k, whole).otherwise(_sampled_need(k, percent, loss))).cast("long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, k: int = 64, loss: float = 1e-8, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, first_k: int = 64, k: int = 256, loss: float = 1e-8, hub_rounds: int = 1) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     ``loss`` bounds the chance that the sketches of one pair at the threshold overlap too little.
@@ -111,13 +113,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = scratch.table(texts.mapInArrow(_sketcher(words, k), "doc_id long, n long, key binary, sketch array<long>"), "base")
+    schema = "doc_id long, n long, key binary, sketch array<long>"
+    base = scratch.table(texts.mapInArrow(_sketcher(words, first_k), schema), "base")
     known = base.where("doc_id is not null and key is not null")
-    sets = scratch.table(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
-
-    lists = scratch.table(_lists(sets, k, percent, loss), "lists")
-    involved = lists.select(F.col("node").alias("doc_id")).distinct()
+    nodes = scratch.table(_distinct_sets(known), "nodes")
+    involved = _lists(nodes, first_k, percent, loss).select(F.col("node").alias("doc_id")).distinct()
     held = scratch.table(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    sets = scratch.table(_distinct_sets(held.mapInArrow(_sketcher(words, k), schema).where("key is not null")), "sets")
+    lists = scratch.table(_lists(sets, k, percent, loss), "lists")
 
     def fits(n: str, m: str) -> Column:
         return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
@@ -138,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    by_id = known.join(sets.select("key", "node"), "key").select("doc_id", "node")
+    by_id = known.join(nodes.select("key", "node"), "key").select("doc_id", "node")
     several = by_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     links = by_id.join(several.select("doc_id", "a"), "doc_id").select(F.col("node").alias("b"), "a").where("a <> b").select("a", "b")
     components, open_lists = None, lists.withColumn("part", F.col("node"))
@@ -155,19 +158,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hubs = open_lists.groupBy("v").agg(F.max_by(F.struct("node", "n", "part"), rank).alias("hub"), F.count("*").alias("m")).where("m > 1")
             met = open_lists.join(hubs, "v").where("part <> hub.part").where(fits("n", "hub.n")).select(*pair("node", "hub.node"))
         else:
-            other = open_lists.select("v", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "part")))
-            met = open_lists.join(other, "v").where("node < o_node and part <> o_part").where(fits("n", "o_n")).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+            other = open_lists.select("v", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "part", "spare")))
+            # the pair's own sizes ask for more shared values than each node's worst case
+            more = F.when((F.col("n") <= k) & (F.col("o_n") <= k), F.ceil((F.col("n") + F.col("o_n")) * percent / (100 + percent))).otherwise(0)
+            enough = (F.col("spare") >= more) & (F.col("o_spare") >= more)
+            met = open_lists.join(other, "v").where("node < o_node and part <> o_part").where(fits("n", "o_n") & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
         links = links.union(confirmed(met.distinct(), f"links-{k_round}"))
         components = connected_components(links)
 
-    rows = base.select("doc_id", "n", "key").join(sets.select("key", "node"), "key", "left")
+    rows = base.select("doc_id", "n", "key").join(nodes.select("key", "node"), "key", "left")
     rows = rows.join(components.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _distinct_sets(documents: DataFrame) -> DataFrame:
+    """One row for each set of shingles: its smallest doc_id as ``node``."""
+    return documents.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+
 def _lists(sets: DataFrame, k: int, percent: int, loss: float) -> DataFrame:
-    """``v, node, n, typical``: each node in the inverted lists of its rarest shared values (see above)."""
+    """``v, node, n, typical, spare``: each node in the inverted lists of its rarest shared values (see above).
+    ``spare`` counts the node's shared values from this one on, the most that a pair that first meets here can share."""
     from pyspark.sql import Window
 
     entries = sets.select("node", "key", "n", F.explode("sketch").alias("v"))
@@ -175,4 +187,4 @@ def _lists(sets: DataFrame, k: int, percent: int, loss: float) -> DataFrame:
     own = Window.partitionBy("node", "key")
     ranked = hits.select("*", F.count("*").over(own).alias("hits"), F.row_number().over(own.orderBy("m", "v")).alias("rank"), F.sum("m").over(own).alias("common"))
     kept = ranked.where(F.col("rank") <= F.col("hits") - _need(F.col("n"), k, percent, loss) + 1)
-    return kept.select("v", "node", "n", (F.col("common") / F.least(F.col("n"), F.lit(k))).alias("typical"))
+    return kept.select("v", "node", "n", (F.col("common") / F.least(F.col("n"), F.lit(k))).alias("typical"), (F.col("hits") - F.col("rank") + 1).alias("spare"))
