@@ -1,4 +1,251 @@
 """Every query of the engine with the DuckDB SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gaugeflow.functions.forecasts import KINDS, with_forecasts
+from gaugeflow.operators import metrics, splits
+from gaugeflow.operators.graph import connected_components
+from gaugeflow.sources.panel import cut_windows, hourly_panel, long_targets
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PANEL = """
+WITH seen AS (SELECT event_type AS key, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600) AS BIGINT) AS h, sum(value) AS q, count(*) AS n FROM events GROUP BY ALL),
+panel AS (SELECT k.key, g.h, coalesce(s.q, 0.0) AS q, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT key FROM seen) k CROSS JOIN (SELECT CAST(range AS BIGINT) AS h FROM range(720)) g LEFT JOIN seen s ON s.key = k.key AND s.h = g.h),
+origins AS (SELECT DISTINCT key, CAST(335 + 24 * range AS BIGINT) AS origin FROM panel CROSS JOIN range(15)),
+history AS (SELECT o.key, o.origin, p.h, p.q FROM origins o JOIN panel p ON p.key = o.key AND p.h BETWEEN o.origin - 335 AND o.origin),
+targets AS (SELECT o.key, o.origin, p.h - o.origin AS lead_h, p.q AS obs FROM origins o JOIN panel p ON p.key = o.key AND p.h BETWEEN o.origin + 1 AND o.origin + 48),
+means AS (SELECT key, avg(q) AS key_mean FROM history GROUP BY key),
+lasts AS (SELECT key, origin, q AS persistence FROM history WHERE h = origin),
+profile AS (SELECT key, origin, h % 24 AS m, avg(q) AS climatology FROM history WHERE h > origin - 168 GROUP BY ALL),
+rows AS (
+  SELECT t.*, l.persistence, m.key_mean AS mean, p.climatology,
+    l.persistence * exp(-(t.lead_h - 1) / 24.0) + m.key_mean * (1 - exp(-(t.lead_h - 1) / 24.0)) AS decay
+  FROM targets t JOIN lasts l USING (key, origin) JOIN means m USING (key) JOIN profile p ON p.key = t.key AND p.origin = t.origin AND p.m = (t.origin + t.lead_h) % 24),
+"""
+SCORES = """scores AS (
+  SELECT key, '{kind}' AS kind, count(*) AS n_values,
+    CASE WHEN var_pop(obs) * count(*) <= 1e-10 THEN 0.0 ELSE 1 - sum(({kind} - obs) ** 2) / (var_pop(obs) * count(*)) END AS nse,
+    CASE WHEN stddev_pop(obs) <= 1e-10 OR stddev_pop({kind}) <= 1e-10 THEN 1.0 ELSE covar_pop(obs, {kind}) / (stddev_pop(obs) * stddev_pop({kind})) END AS kge_r,
+    CASE WHEN stddev_pop(obs) <= 1e-10 THEN 1.0 ELSE stddev_pop({kind}) / stddev_pop(obs) END AS kge_alpha,
+    CASE WHEN abs(avg(obs)) <= 1e-10 THEN 1.0 ELSE avg({kind}) / avg(obs) END AS kge_beta,
+    sqrt(avg(({kind} - obs) ** 2)) AS rmse, avg(abs({kind} - obs)) AS mae
+  FROM rows GROUP BY key),
+full_scores AS (SELECT *, 1 - sqrt((kge_r - 1) ** 2 + (kge_alpha - 1) ** 2 + (kge_beta - 1) ** 2) AS kge FROM scores)
+"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly_panel(_table(spark, sf_dir, "events"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_windows(_panel(spark, sf_dir))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_targets(with_forecasts(_windows(spark, sf_dir)), *KINDS)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to ``digits`` places, so that the order of summation does not show."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(PANEL + "x AS (SELECT 1) SELECT key, h, round(q, 6) AS q, n FROM panel")
+def panel_hourly(spark, sf_dir):
+    return rounded(_panel(spark, sf_dir))
+
+
+@query(PANEL + "x AS (SELECT 1) SELECT key, origin, lead_h, round(obs, 6) AS obs FROM targets")
+def window_targets_long(spark, sf_dir):
+    return rounded(long_targets(_windows(spark, sf_dir)))
+
+
+@query(PANEL + "x AS (SELECT 1) SELECT key, origin, lead_h, round(persistence, 6) AS persistence, round(mean, 6) AS mean, round(climatology, 6) AS climatology, round(decay, 6) AS decay FROM rows")
+def forecasts_long(spark, sf_dir):
+    return rounded(_rows(spark, sf_dir).drop("obs"))
+
+
+@query(PANEL + "x AS (SELECT 1) SELECT key, round(avg(q), 6) AS mean, round(CASE WHEN stddev_pop(q) < 1e-6 THEN 1.0 ELSE stddev_pop(q) END, 6) AS std, count(*) AS n FROM history GROUP BY key")
+def norm_per_basin(spark, sf_dir):
+    each = _windows(spark, sf_dir).select("key", F.explode("x").alias("q"))
+    std = F.stddev_pop("q")
+    return rounded(each.groupBy("key").agg(F.avg("q").alias("mean"), F.when(std < 1e-6, 1.0).otherwise(std).alias("std"), F.count("*").alias("n")))
+
+
+@query(PANEL + "g AS (SELECT avg(q) AS mean, stddev_pop(q) AS std FROM history) SELECT DISTINCT key, round(g.mean, 6) AS mean, round(CASE WHEN g.std < 1e-6 THEN 1.0 ELSE g.std END, 6) AS std FROM panel, g")
+def norm_global(spark, sf_dir):
+    windows = _windows(spark, sf_dir)
+    std = F.stddev_pop("q")
+    pooled = windows.select(F.explode("x").alias("q")).agg(F.avg("q").alias("mean"), F.when(std < 1e-6, 1.0).otherwise(std).alias("std"))
+    return rounded(windows.select("key").distinct().crossJoin(F.broadcast(pooled)))
+
+
+@query(PANEL + "n AS (SELECT key, avg(q) AS m, stddev_pop(q) AS s FROM history GROUP BY key) SELECT key, origin, round(sum((q - m) / s), 5) + 0.0 AS z_sum, true AS exact FROM history JOIN n USING (key) GROUP BY key, origin")
+def zscore_roundtrip(spark, sf_dir):
+    windows = _windows(spark, sf_dir)
+    norm = windows.select("key", F.explode("x").alias("q")).groupBy("key").agg(F.avg("q").alias("m"), F.stddev_pop("q").alias("s"))
+    z = windows.join(F.broadcast(norm), "key").withColumn("z", F.transform("x", lambda v: (v - F.col("m")) / F.col("s")))
+    error = F.array_max(F.zip_with("x", "z", lambda x, v: F.abs(v * F.col("s") + F.col("m") - x)))
+    return z.select("key", "origin", (F.round(F.aggregate("z", F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("z_sum"), (error < 1e-9).alias("exact"))
+
+
+def _score_query(kind: str) -> None:
+    columns = ", ".join(f"round({c}, 6) AS {c}" for c in ("nse", "kge", "kge_r", "kge_alpha", "kge_beta", "rmse", "mae"))
+
+    def run(spark, sf_dir):
+        return rounded(metrics.score(_rows(spark, sf_dir), kind))
+
+    run.__name__ = f"score_{kind}"
+    query(PANEL + SCORES.format(kind=kind) + f"SELECT key, n_values, {columns} FROM full_scores")(run)
+
+
+for _kind in KINDS:
+    _score_query(_kind)
+
+
+@query(PANEL + "b AS (SELECT key, (lead_h - 1) // 12 AS bucket, sum((decay - obs) ** 2) AS res, var_pop(obs) * count(*) AS oo FROM rows GROUP BY ALL) SELECT key, bucket, round(1 - res / oo, 6) AS nse FROM b WHERE oo > 1e-10")
+def score_buckets(spark, sf_dir):
+    return rounded(metrics.score_buckets(_rows(spark, sf_dir), "decay"))
+
+
+@query(PANEL + "b AS (SELECT key, (lead_h - 1) // 12 AS bucket, sum((decay - obs) ** 2) AS res, var_pop(obs) * count(*) AS oo FROM rows GROUP BY ALL) SELECT bucket, round(median(1 - res / oo), 6) AS median_nse FROM b WHERE oo > 1e-10 GROUP BY bucket")
+def bucket_medians(spark, sf_dir):
+    return rounded(metrics.score_buckets(_rows(spark, sf_dir), "decay").groupBy("bucket").agg(F.median("nse").alias("median_nse")))
+
+
+@query(
+    PANEL + SCORES.format(kind="decay") + """SELECT round(median(nse), 6) AS median_nse, round(avg(nse), 6) AS mean_nse, round(stddev_pop(nse), 6) AS std_nse,
+  round(100.0 * count(*) FILTER (nse > 0.5) / count(*), 6) AS pct_nse_05, round(100.0 * count(*) FILTER (nse > 0.7) / count(*), 6) AS pct_nse_07,
+  round(median(kge), 6) AS median_kge, round(avg(kge), 6) AS mean_kge, round(median(rmse), 6) AS median_rmse, round(median(mae), 6) AS median_mae,
+  round(avg(greatest(nse, -1)), 6) AS mean_nse_clip, count(*) AS n_basins, count(*) AS n_basins_total FROM full_scores"""
+)
+def aggregate_summary(spark, sf_dir):
+    return rounded(metrics.summarise(metrics.score(_rows(spark, sf_dir), "decay")))
+
+
+@query(
+    PANEL + """c AS (SELECT key, quantile_cont(obs, 2.0 / 3) AS cut, greatest(1, round_even(0.02 * count(*), 0)) AS k FROM rows GROUP BY key),
+r AS (SELECT key, obs, decay, row_number() OVER (PARTITION BY key ORDER BY obs DESC) AS ko, row_number() OVER (PARTITION BY key ORDER BY decay DESC) AS kp FROM rows)
+SELECT key, round(sum(decay) FILTER (obs >= cut) / sum(obs) FILTER (obs >= cut), 6) AS highflow_beta,
+  round(100 * (sum(decay) FILTER (kp <= k) - sum(obs) FILTER (ko <= k)) / sum(obs) FILTER (ko <= k), 6) AS fhv FROM r JOIN c USING (key) GROUP BY key"""
+)
+def high_flow(spark, sf_dir):
+    return rounded(metrics.high_flow(_rows(spark, sf_dir), "decay"))
+
+
+@query(PANEL + "s AS (SELECT lead_h, sum((decay - obs) ** 2) AS m, sum((persistence - obs) ** 2) AS b FROM rows GROUP BY lead_h) SELECT lead_h, round(1 - m / b, 6) AS skill FROM s")
+def skill_by_lead(spark, sf_dir):
+    return rounded(metrics.skill_by_lead(_rows(spark, sf_dir), "decay"))
+
+
+@query("WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events), r AS (SELECT key, row_number() OVER (ORDER BY md5('42:' || key), key) AS k, count(*) OVER () AS n FROM k) SELECT key, k <= greatest(1, round_even(n * 0.12, 0)) AS held_out FROM r")
+def split_basin_holdout(spark, sf_dir):
+    return splits.hold_out_keys(_table(spark, sf_dir, "events"), "user_id", 0.12)
+
+
+@query("WITH r AS (SELECT event_type AS key, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT key, id, k <= greatest(1, floor(n * 0.12)) AS held_out FROM r")
+def split_random_within(spark, sf_dir):
+    return splits.hold_out_within(_table(spark, sf_dir, "events"), "event_type", "event_id", 0.12)
+
+
+_GRAMS = """s AS (SELECT key, origin, h, q + 0.0 AS q FROM history),
+w AS (SELECT key, origin, h, list(q) OVER (PARTITION BY key, origin ORDER BY h ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS g FROM s),
+grams AS (SELECT DISTINCT key, origin, g FROM w WHERE len(g) = 6 AND len(list_distinct(g)) >= 3),
+held AS (SELECT key, origin, row_number() OVER (PARTITION BY key ORDER BY md5('42:' || origin), origin) <= 3 AS out FROM origins)
+"""
+
+
+@query(PANEL + _GRAMS + ", n AS (SELECT g.key, g.origin, count(*) AS n FROM grams g JOIN held USING (key, origin) WHERE out AND EXISTS (FROM grams t JOIN held u USING (key, origin) WHERE NOT u.out AND t.key = g.key AND t.g = g.g) GROUP BY ALL) SELECT key, origin, coalesce(n, 0) AS n_shared, coalesce(n, 0) >= 3 AS leaked FROM (SELECT DISTINCT key, origin FROM grams JOIN held USING (key, origin) WHERE out) LEFT JOIN n USING (key, origin)")
+def leak_flags(spark, sf_dir):
+    windows = _windows(spark, sf_dir)
+    held = splits.hold_out_within(windows, "key", "origin", 0.2).withColumnRenamed("id", "origin")
+    runs = splits.grams(windows).join(held, ["key", "origin"])
+    return splits.leaked_windows(runs.where("not held_out"), runs.where("held_out"))
+
+
+@query()
+def overlap_components(spark, sf_dir):
+    """Windows of one key that share a run of six values are one component; no SQL twin (transitive closure)."""
+    windows = _windows(spark, sf_dir)
+    name = F.xxhash64("key", "origin")
+    runs = splits.grams(windows, least_distinct=2).select("key", F.xxhash64("g").alias("h"), "g", name.alias("node"))
+    first = runs.groupBy("key", "h", "g").agg(F.min("node").alias("a"))
+    edges = runs.join(first, ["key", "h", "g"]).select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    found = connected_components(edges).withColumnRenamed("node", "n")
+    return windows.select("key", "origin", name.alias("n")).join(found, "n", "left").select("key", "origin", F.coalesce("component", "n").alias("component"))
+
+
+@query(PANEL + "e AS (SELECT key, obs, (persistence + mean + climatology + decay) / 4 AS p FROM rows) SELECT key, round(1 - sum((p - obs) ** 2) / (var_pop(obs) * count(*)), 6) AS nse, round(avg(abs(p - obs)), 6) AS mae FROM e GROUP BY key")
+def ensemble_mean(spark, sf_dir):
+    rows = _rows(spark, sf_dir).withColumn("ensemble", sum((F.col(k) for k in KINDS), F.lit(0.0)) / len(KINDS))
+    return rounded(metrics.score(rows, "ensemble").select("key", "nse", "mae"))
+
+
+def _all_scores(spark, sf_dir) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    long = rows.select("key", "obs", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("p")) for k in KINDS))).alias("f")).select(F.to_json(F.struct("key", "f.kind")).alias("id"), "key", "obs", "f.kind", "f.p")
+    names = long.select("id", "key", "kind").distinct()
+    return metrics.score(long, "p", key="id").join(names, "id").drop("id")
+
+
+_ALL = "all_scores AS (" + " UNION ALL ".join(f"SELECT key, '{k}' AS kind, 1 - sum(({k} - obs) ** 2) / (var_pop(obs) * count(*)) AS nse FROM rows GROUP BY key" for k in KINDS) + ")"
+
+
+@query(PANEL + _ALL + ", m AS (SELECT kind, median(nse) AS v FROM all_scores GROUP BY kind) SELECT row_number() OVER (ORDER BY v DESC, kind) AS place, kind, round(v, 6) AS median_nse, round(v - (SELECT v FROM m WHERE kind = 'persistence'), 6) AS delta FROM m")
+def scoreboard(spark, sf_dir):
+    medians = _all_scores(spark, sf_dir).groupBy("kind").agg(F.median("nse").alias("v"))
+    bar = medians.where("kind = 'persistence'").select(F.col("v").alias("bar"))
+    place = F.row_number().over(Window.orderBy(F.desc("v"), "kind"))
+    return rounded(medians.crossJoin(F.broadcast(bar)).select(place.cast("long").alias("place"), "kind", F.col("v").alias("median_nse"), (F.col("v") - F.col("bar")).alias("delta")))
+
+
+@query(PANEL + _ALL + ", d AS (SELECT a.key, a.nse - b.nse AS d FROM all_scores a JOIN all_scores b USING (key) WHERE a.kind = 'decay' AND b.kind = 'persistence') SELECT count(*) AS n_pairs, round(avg(d), 6) AS mean_delta, CASE WHEN count(*) >= 3 THEN avg(d) >= 0.02 AND bool_and(d > 0) END AS adopt FROM d")
+def adopt_rule(spark, sf_dir):
+    scores = _all_scores(spark, sf_dir)
+    a, b = (scores.where(F.col("kind") == k).select("key", F.col("nse").alias(k)) for k in ("decay", "persistence"))
+    d = a.join(b, "key").select((F.col("decay") - F.col("persistence")).alias("d"))
+    return rounded(d.agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean_delta"), F.when(F.count("*") >= 3, (F.avg("d") >= 0.02) & F.bool_and(F.col("d") > 0)).alias("adopt")))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (value < 0) AS negative, count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value IS NULL) AS missing, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(max(value), 6) AS largest FROM events")
+def quality_checks(spark, sf_dir):
+    v = F.col("value")
+    return rounded(_table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zeros"), F.count_if(v.isNull()).alias("missing"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("largest")))
+
+
+@query("""WITH d AS (SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) AS q FROM lineitem GROUP BY ALL),
+p AS (SELECT key, q AS obs, lag(q) OVER (PARTITION BY key ORDER BY day) AS p FROM d)
+SELECT key, count(*) AS n_values, round(1 - sum((p - obs) ** 2) / (var_pop(obs) * count(*)), 6) AS nse, round(avg(abs(p - obs)), 4) AS mae FROM p WHERE p IS NOT NULL GROUP BY key HAVING count(*) > 1""")
+def supplier_panel_score(spark, sf_dir):
+    """The same scorer on another domain: a supplier's daily sales, forecast by the last day with sales."""
+    days = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("day")).agg(F.sum("l_extendedprice").alias("obs"))
+    pairs = days.withColumn("p", F.lag("obs").over(Window.partitionBy("key").orderBy("day"))).where("p is not null")
+    scored = metrics.score(pairs, "p").where("n_values > 1")
+    return scored.select("key", "n_values", F.round("nse", 6).alias("nse"), F.round("mae", 4).alias("mae"))
+
+
+@query("SELECT user_id, substr(sha256('{\"user\": ' || user_id || '}'), 1, 12) AS config_key FROM (SELECT DISTINCT user_id FROM events)")
+def config_key(spark, sf_dir):
+    """The content address of a canonical JSON text."""
+    users = _table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", F.substring(F.sha2(F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit("}")), 256), 1, 12).alias("config_key"))
