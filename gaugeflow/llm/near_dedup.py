@@ -144,10 +144,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_id = known.join(nodes.select("key", "node"), "key").select("doc_id", "node")
     several = by_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     links = by_id.join(several.select("doc_id", "a"), "doc_id").select(F.col("node").alias("b"), "a").where("a <> b").select("a", "b")
-    components, open_lists = None, lists.withColumn("part", F.col("node"))
+    parts, open_lists = None, lists.withColumn("part", F.col("node"))
     for k_round in range(hub_rounds + 1):
-        if components is not None:
-            parts = components.select("node", F.col("component").alias("part"))
+        if parts is not None:
             open_lists = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
             mixed = open_lists.groupBy("v").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("v")
             open_lists = scratch.table(open_lists.join(mixed, "v", "left_semi"), f"open-{k_round}")
@@ -164,7 +163,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             enough = (F.col("spare") >= more) & (F.col("o_spare") >= more)
             met = open_lists.join(other, "v").where("node < o_node and part <> o_part").where(fits("n", "o_n") & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
         links = links.union(confirmed(met.distinct(), f"links-{k_round}"))
-        components = connected_components(links)
+        if k_round < hub_rounds:
+            # parts only save comparisons, so two rounds of merging do
+            parts = connected_components(links, max_rounds=2, settle=False).withColumnRenamed("component", "part")
+    components = connected_components(links)
 
     rows = base.select("doc_id", "n", "key").join(nodes.select("key", "node"), "key", "left")
     rows = rows.join(components.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
