@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
-from gaugeflow.operators import metrics, splits
+from gaugeflow.functions.series import peak_of_means, spark_levels
+from gaugeflow.operators import compare, metrics, ridge, splits
 from gaugeflow.operators.graph import connected_components
 from gaugeflow.sources.panel import cut_windows, hourly_panel, long_targets
+from gaugeflow.streaming.statistics import running_statistics
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -249,3 +251,60 @@ def config_key(spark, sf_dir):
     """The content address of a canonical JSON text."""
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
     return users.select("user_id", F.substring(F.sha2(F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit("}")), 256), 1, 12).alias("config_key"))
+
+
+@query(PANEL + """x AS (SELECT 1) SELECT key, round(avg((decay - obs) ** 2), 6) AS mse, round(avg(abs(decay - obs)), 6) AS mae,
+  round(avg(CASE WHEN abs(decay - obs) <= 0.5 THEN (decay - obs) ** 2 / 2 ELSE 0.5 * (abs(decay - obs) - 0.25) END), 6) AS huber FROM rows GROUP BY key""")
+def loss_means(spark, sf_dir):
+    return rounded(compare.losses(_rows(spark, sf_dir), "decay"))
+
+
+@query(PANEL + "x AS (SELECT 1) SELECT key, round(1 - sum((decay - obs) ** 2) / (sum(obs * obs) - sum(obs) ** 2 / count(*)), 6) AS nse FROM rows GROUP BY key")
+def quick_nse(spark, sf_dir):
+    return rounded(compare.quick_nse(_rows(spark, sf_dir), "decay"))
+
+
+@query(
+    PANEL + _GRAMS + """, n AS (SELECT g.key, g.origin, count(*) AS n FROM grams g JOIN held USING (key, origin) WHERE out AND EXISTS (FROM grams t JOIN held u USING (key, origin) WHERE NOT u.out AND t.key = g.key AND t.g = g.g) GROUP BY ALL),
+flags AS (SELECT key, origin, coalesce(n, 0) >= 3 AS leaked FROM (SELECT DISTINCT key, origin FROM grams JOIN held USING (key, origin) WHERE out) LEFT JOIN n USING (key, origin)),
+f AS (SELECT r.key, r.obs, r.decay, coalesce(leaked, true) AS seen FROM rows r LEFT JOIN flags ON flags.key = r.key AND flags.origin = r.origin)
+SELECT seen, key, round(1 - sum((decay - obs) ** 2) / (var_pop(obs) * count(*)), 6) AS nse FROM f GROUP BY seen, key"""
+)
+def subset_nse(spark, sf_dir):
+    return rounded(compare.subset_nse(_rows(spark, sf_dir), leak_flags(spark, sf_dir), "decay"))
+
+
+@query(
+    PANEL + """d AS (SELECT key, origin, round(avg(abs(persistence - obs)) - avg(abs(decay - obs)), 9) AS d FROM rows GROUP BY ALL),
+r AS (SELECT key, d, rank() OVER (PARTITION BY key ORDER BY abs(d)) + (count(*) OVER (PARTITION BY key, abs(d)) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY key, abs(d)) AS t FROM d WHERE d <> 0),
+g AS (SELECT key, count(*) AS n, coalesce(sum(k) FILTER (d > 0), 0.0) AS w, sum(t * t - 1) AS ties FROM r GROUP BY key)
+SELECT key, n, round(w, 6) AS w_plus, round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) AS z FROM g"""
+)
+def signed_rank(spark, sf_dir):
+    """Are the windows' errors of persistence larger than those of decay?"""
+    error = lambda k: F.avg(F.abs(F.col(k) - F.col("obs")))
+    d = _rows(spark, sf_dir).groupBy("key", "origin").agg(F.round(error("persistence") - error("decay"), 9).alias("d"))
+    return rounded(compare.signed_rank(d))
+
+
+@query("SELECT event_type AS key, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) < 1e-6 THEN 1.0 ELSE stddev_pop(value) END, 6) AS std FROM events GROUP BY event_type")
+def statistics_by_type(spark, sf_dir):
+    return rounded(running_statistics(_table(spark, sf_dir, "events"), "event_type", "value"))
+
+
+@query(
+    PANEL + """m AS (SELECT key, avg(q) OVER w AS m, count(*) OVER w AS c, q, min(q) OVER (PARTITION BY key) AS lo, max(q) OVER (PARTITION BY key) AS hi FROM panel WINDOW w AS (PARTITION BY key ORDER BY h ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT key, round(max(m) FILTER (c = 3), 6) AS peak, count(*) FILTER (least(8, floor((q - lo) / (hi - lo + 1e-9) * 8)) >= 7) AS n_high FROM m GROUP BY key"""
+)
+def series_peaks(spark, sf_dir):
+    series = _panel(spark, sf_dir).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "q"))), lambda p: p["q"]).alias("s"))
+    high = F.size(F.filter(spark_levels(F.col("s")), lambda v: v >= 7)).cast("long")
+    return rounded(series.select("key", peak_of_means(F.col("s")).alias("peak"), high.alias("n_high")))
+
+
+@query()
+def ridge_scores(spark, sf_dir):
+    """Ridge on the last 24 hours, scored on the windows it was fitted to; no SQL twin (a linear system is solved)."""
+    windows = _windows(spark, sf_dir)
+    fitted = ridge.with_ridge(windows, ridge.fit_ridge(windows))
+    return rounded(metrics.score(long_targets(fitted, "ridge"), "ridge"))

@@ -3,9 +3,14 @@ import os
 
 import pytest
 
-from gaugeflow.operators import metrics, splits
+import numpy as np
+from pyspark.sql import functions as F
+
+from gaugeflow.functions import series
+from gaugeflow.operators import metrics, ridge, splits
 from gaugeflow.operators.graph import connected_components
 from gaugeflow.plans import catalogue
+from gaugeflow.streaming.statistics import running_statistics
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,8 +45,51 @@ def test_leak_of_shared_runs(spark):
     assert got == {1: (3, True), 2: (0, False), 3: (0, False)}
 
 
+def test_folds_over_series(spark):
+    curve = [0.50, 0.60, 0.68, 0.74, 0.79, 0.83, 0.86, 0.87, 0.875, 0.878, 0.877, 0.876, 0.872, 0.869, 0.865, 0.860, 0.855, 0.850, 0.845, 0.840]
+    df = spark.createDataFrame([(curve,), ([],), (None,), ([1.0],)], "v array<double>")
+    v = F.col("v")
+    got = df.select(series.early_stop(v, 5).alias("stop"), series.moving_mean(v).alias("mean"), series.peak_of_means(v).alias("peak")).collect()
+    assert tuple(got[0]["stop"]) == (0.878, 9, 14, True) and tuple(got[3]["stop"]) == (1.0, 0, 0, False)
+    mean = curve[0]
+    for t, x in enumerate(curve[1:], 1):
+        d = min(0.999, (1 + t) / (10 + t))
+        mean = d * mean + (1 - d) * x
+    assert math.isclose(got[0]["mean"], mean) and math.isclose(got[0]["peak"], (0.878 + 0.877 + 0.876) / 3) and got[3]["mean"] == 1
+    assert all(got[k][c] is None for k in (1, 2) for c in ("stop", "mean", "peak")) and got[3]["peak"] is None
+    routed = spark.createDataFrame([([0.9, 0.4, 0.02],), ([1.0, 1.0, 1.0],)], "v array<double>").select(series.route_by_entropy(v, 2).alias("r")).collect()
+    assert [r["r"] for r in routed] == [[0, 1], [0, 1]]
+    errors = spark.createDataFrame([(x,) for x in (0.5, -0.5, 0.2, -0.2, -20.0)], "e double")
+    assert round(errors.agg(F.avg(series.huber(F.col("e"), 2.0))).first()[0], 2) == 7.66
+
+
+def test_ridge_against_a_direct_solution(spark):
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(size=(50, 6)), rng.normal(size=(4, 2))
+    y = x[:, -4:] @ w + 3 + rng.normal(0, 0.1, (50, 2))
+    rows = [("k", i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([*rows, ("k", 99, [1.0], [1.0, 1.0]), ("k", 98, [None] * 6, [1.0, 1.0])], "key string, origin long, x array<double>, y array<double>")
+    got = ridge.fit_ridge(df, penalty=0.5, lags=4)
+    a = np.hstack([x[:, -4:], np.ones((50, 1))])
+    want = np.linalg.solve(a.T @ a + np.diag([0.5] * 4 + [0]), a.T @ y)
+    assert np.allclose(got, want)
+    out = {r["origin"]: r["ridge"] for r in ridge.with_ridge(df, got).collect()}
+    assert out[99] is None and np.allclose([out[i] for i in range(50)], a @ want)
+    with pytest.raises(ValueError):
+        ridge.fit_ridge(df.limit(0))
+
+
+def test_statistics_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", None), ("a", 8.0)], "k string, v double")
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = running_statistics(stream, "k", "v").writeStream.format("memory").queryName("running").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert sorted(spark.table("running").collect()) == sorted(running_statistics(df, "k", "v").collect())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["panel_hourly", "score_decay", "leak_flags", "split_basin_holdout", "aggregate_summary"])
+@pytest.mark.parametrize("name", ["panel_hourly", "score_decay", "leak_flags", "split_basin_holdout", "aggregate_summary", "loss_means", "quick_nse", "subset_nse", "signed_rank", "statistics_by_type", "series_peaks"])
 def test_same_rows_as_duckdb(spark, name):
     import duckdb
 
