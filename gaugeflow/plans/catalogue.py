@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
-from gaugeflow.functions.series import peak_of_means, spark_levels
-from gaugeflow.operators import compare, metrics, ridge, splits
+from gaugeflow.functions.series import peak_of_means, route_by_entropy, spark_levels
+from gaugeflow.operators import compare, decompose, metrics, ridge, splits
 from gaugeflow.operators.graph import connected_components
 from gaugeflow.sources.panel import cut_windows, hourly_panel, long_targets
 from gaugeflow.streaming.statistics import running_statistics
@@ -308,3 +308,36 @@ def ridge_scores(spark, sf_dir):
     windows = _windows(spark, sf_dir)
     fitted = ridge.with_ridge(windows, ridge.fit_ridge(windows))
     return rounded(metrics.score(long_targets(fitted, "ridge"), "ridge"))
+
+
+@query(
+    PANEL + """e AS (SELECT key, origin, h, q, lead(q) OVER w AS q1, lead(q, 2) OVER w AS q2, 0.2 * stddev_pop(q) OVER (PARTITION BY key, origin) AS r FROM history WINDOW w AS (PARTITION BY key, origin ORDER BY h)),
+c AS (SELECT a.key, a.origin, count(*) AS b, count(*) FILTER (abs(a.q2 - z.q2) <= a.r) AS a FROM e a JOIN e z ON a.key = z.key AND a.origin = z.origin AND a.h <> z.h AND abs(a.q - z.q) <= a.r AND abs(a.q1 - z.q1) <= a.r GROUP BY ALL)
+SELECT e.key, e.origin, round(CASE WHEN any_value(e.r) < 2e-9 THEN 0.0 WHEN coalesce(any_value(a), 0) = 0 THEN 3.0 ELSE least(3.0, ln(any_value(b) / any_value(a))) END, 6) AS entropy FROM e LEFT JOIN c ON c.key = e.key AND c.origin = e.origin GROUP BY e.key, e.origin"""
+)
+def sample_entropy_windows(spark, sf_dir):
+    return rounded(_windows(spark, sf_dir).select("key", "origin", decompose.sample_entropy(F.col("x")).alias("entropy")))
+
+
+@query()
+def emd_identity(spark, sf_dir):
+    """Do the plain modes and what is left sum to the window? No SQL twin (splines are iterated)."""
+    windows = _windows(spark, sf_dir)
+    parts = decompose.plain_modes(windows, ["key", "origin"]).groupBy("key", "origin").agg(F.count("*").alias("n_parts"), F.collect_list("part").alias("parts"))
+    return windows.join(parts, ["key", "origin"]).select("key", "origin", "n_parts", (decompose.band_error(F.col("x"), F.col("parts")) < 1e-9).alias("exact"))
+
+
+@query()
+def mode_groups(spark, sf_dir):
+    """Each window's noise-assisted modes in three bands, their entropies and the band of each branch; no SQL twin."""
+    windows = _windows(spark, sf_dir)
+    found = decompose.decompose(windows, ["key", "origin"], trials=20)
+    scale = F.greatest(F.lit(1.0), F.array_max("x"))
+    exact = decompose.band_error(F.col("x"), F.col("bands").cast("array<array<double>>")) < 1e-5 * scale
+    return windows.join(found, ["key", "origin"]).select("key", "origin", "n_modes", "code", F.transform("band_entropy", lambda e: F.round(e, 4)).alias("band_entropy"), route_by_entropy(F.col("band_entropy"), 2).alias("high"), exact.alias("exact"))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(embedding[1:6]) AS v, unnest(range(6)) AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM e) SELECT vec_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS high FROM r WHERE k <= 2 GROUP BY vec_id")
+def route_bands(spark, sf_dir):
+    """The two of six values that the routing rule sends to the fast branch."""
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(route_by_entropy(F.slice("embedding", 1, 6), 2).cast("array<string>"), ",").alias("high"))
