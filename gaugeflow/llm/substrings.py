@@ -148,11 +148,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = cells.join(sketch.where("estimate > 1"), "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
     windows = texts.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_window_hashes(window, gram, width_bits), "doc_id long, key binary, start int, h1 long, h2 long")
     windows = scratch.table(windows, "windows")
-    repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest")
-    repeats = windows.join(repeated, ["h1", "h2"]).where("doc_id > earliest").groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
+    grouped = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("n"))
+    repeated = scratch.table(grouped.where("earliest < latest"), "repeated")
+    # a window with more than a 1000th of all rows meets its rows where they lie: there are at most 1000 such
+    # windows, so they can be broadcast, and only the others' rows are dealt by hash
+    common = repeated.where(F.col("n") > windows.count() / 1000)
+    usual = windows.join(F.broadcast(common), ["h1", "h2"], "left_anti").join(repeated, ["h1", "h2"])
+    found = windows.join(F.broadcast(common), ["h1", "h2"]).unionByName(usual).where("doc_id > earliest")
+    repeats = found.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
     repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("key", "starts")).alias("repeats"))
     whole = copied.groupBy("doc_id").agg(F.collect_list("key").alias("whole"))
     cuts = scratch.table(whole.join(repeats, "doc_id", "full_outer"), "cuts")
-    scratch.drop("windows")
+    scratch.drop("windows", "repeated")
     joined = texts.join(cuts, "doc_id", "left").select("doc_id", "text", "whole", "repeats")
     return joined.mapInArrow(_cutter(window, single_spaces), "doc_id long, text string, n_words long, n_removed long, removed array<struct<first:long,end:long>>")
