@@ -10,12 +10,14 @@ Items and windows get 64-bit SimHash fingerprints of their weighted shingles. Th
 within ``radius`` (at most 31 bits) agrees with some entry. Pairs within the radius are then verified by
 the exact weighted Jaccard coefficient of their shingle bags.
 
-The radius is chosen so that a pair at similarity 0.75, whose bits differ with chance 0.172, lies beyond it
-with a chance of about 2e-7. Only the benchmark's shingles and index are broadcast, and only if they have at
+A shingle's later occurrences in a bag enter the fingerprint under hashes of their own, so that bags are sets
+there and repeated shingles do not weigh the bits. The radius is chosen so that a pair at similarity 0.75, whose
+bits differ with chance 0.172, lies beyond it with a chance of about 2e-7. Only the benchmark's shingles and index are broadcast, and only if they have at
 most ``broadcast_rows`` rows; otherwise they are joined by shuffles.
 
 Defined results: null or empty texts and items match nothing; a text of fewer than five words is one
-shingle; repeated rows and equal items each count; a null doc_id gives rows like any other; other columns
+shingle; repeated rows and equal items each count; a null doc_id or item_id gives rows like any other; rows that
+share an item_id are compared each with its own text, and the best gives the row of that item_id; other columns
 are not read; empty tables give an empty result.
 """
 
@@ -43,12 +45,19 @@ def _bags(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), split.alias("w")).select("id", hashes.alias("bag"))
 
 
+def _numbered(bag: str) -> Column:
+    """The bag as a set: each occurrence of a hash after the first gets a hash of its own."""
+    nth = lambda h, i: F.size(F.filter(F.slice(bag, F.lit(1), i + 1), lambda y: y == h))
+    many = F.transform(bag, lambda h, i: F.when(nth(h, i) == 1, h).otherwise(F.xxhash64(h, nth(h, i))))
+    return F.when(F.size(F.array_distinct(bag)) == F.size(bag), F.col(bag)).otherwise(many)
+
+
 def fingerprints(bags: DataFrame, keys: list[str], bits: int = 64) -> DataFrame:
-    """``keys`` and ``fp``: bit i is set if more than half of the bag's hashes have it.
+    """``keys``, one row for each, and ``fp``: bit i is set if more than half of the bag's hashes have it.
 
     Each of 32 sums counts two bits, one in either half of a long, so bags of up to 2**31 hashes are exact.
     """
-    each = bags.select(*keys, F.size("bag").alias("_n"), F.explode("bag").alias("_h"))
+    each = bags.select(*keys, F.size("bag").alias("_n"), F.explode(_numbered("bag")).alias("_h"))
     sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(0x0000000100000001))).alias(f"_s{i}") for i in range(32)]
     counted = each.groupBy(*keys, "_n").agg(*sums)
     fp = F.lit(0).cast("long")
@@ -73,7 +82,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     scratch = Scratch(docs.sparkSession, "leaks")
     # a filter on ``bag`` here would move below the projection and split the text again for every shingle;
     # so the bags are written first, and the explode of the documents below is an outer one
-    held = scratch.table(_bags(items, item_col, item_text, words).select(F.col("id").alias("item_id"), "bag", F.size("bag").alias("size")), "items").where("size > 0")
+    item_key = (F.xxhash64("bag").alias("i1"), F.xxhash64(F.lit(1), "bag").alias("i2"))
+    given = scratch.table(_bags(items, item_col, item_text, words).select(F.col("id").alias("item_id"), "bag", F.size("bag").alias("size"), *item_key), "items").where("size > 0")
+    # items are compared by content, as windows are; their ids, which may be null or repeated, come back at the end
+    held = scratch.table(given.groupBy("i1", "i2", "size").agg(F.first("bag").alias("bag")), "item-contents")
     known = scratch.table(held.select(F.explode("bag").alias("h"), "size").groupBy("h").agg(F.collect_set("size").alias("sizes")), "shingles")
     small = known.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
@@ -87,16 +99,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     def block(i: Column) -> Column:
         return F.expr(f"cast(shiftrightunsigned(fp, 4 * {i}) & 15 as int)")
 
-    index = fingerprints(held, ["item_id", "size"]).select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.expr(f"cast(shiftrightunsigned(fp, {4 * i}) & 15 as int) ^ {m}").alias("v")) for i in range(16) for m in (0, 1, 2, 4, 8)))).alias("b"))
-    index = scratch.table(index.select("item_id", "size", "item_fp", "b.i", "b.v"), "index")
+    index = fingerprints(held, ["i1", "i2", "size"]).select("i1", "i2", "size", F.col("fp").alias("item_fp"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.expr(f"cast(shiftrightunsigned(fp, {4 * i}) & 15 as int) ^ {m}").alias("v")) for i in range(16) for m in (0, 1, 2, 4, 8)))).alias("b"))
+    index = scratch.table(index.select("i1", "i2", "size", "item_fp", "b.i", "b.v"), "index")
     probes = fingerprints(contents, ["k1", "k2", "size"]).select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), block(i).alias("v")) for i in range(16)))).alias("b")).select("k1", "k2", "size", "fp", "b.i", "b.v")
     near = probes.join(F.broadcast(index) if index.count() <= broadcast_rows else index, ["size", "i", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = near.select("k1", "k2", "size", "item_id").distinct()
+    pairs = near.select("k1", "k2", "size", "i1", "i2").distinct()
 
-    own = held.select("item_id", "size", F.col("bag").alias("item_bag"))
-    judged = pairs.join(contents, ["k1", "k2", "size"]).join(own, ["item_id", "size"]).withColumn("shared", _shared("bag", "item_bag"))
+    own = held.select("i1", "i2", "size", F.col("bag").alias("item_bag"))
+    judged = pairs.join(contents, ["k1", "k2", "size"]).join(own, ["i1", "i2", "size"]).withColumn("shared", _shared("bag", "item_bag"))
     both = F.size("bag") + F.size("item_bag") - F.col("shared")
-    found = scratch.table(judged.where(100 * F.col("shared") >= percent * both).select("k1", "k2", "size", "item_id", F.round(F.col("shared") / both, 6).alias("similarity")), "found")
+    ids = given.select("item_id", "i1", "i2", "size").distinct()
+    found = scratch.table(judged.where(100 * F.col("shared") >= percent * both).join(ids, ["i1", "i2", "size"]).select("k1", "k2", "size", "item_id", F.round(F.col("shared") / both, 6).alias("similarity")), "found")
     matched = windows.select("doc_id", "start", "size", "k1", "k2").join(found, ["k1", "k2", "size"])
     best = F.max_by("start", F.struct("similarity", -F.col("start"))).cast("long").alias("start")
     return matched.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best, F.countDistinct("start").alias("n_windows"))

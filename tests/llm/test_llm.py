@@ -134,6 +134,23 @@ def test_leaked_items_against_brute_force(spark, empty):
     assert decontaminate.leaked_items(empty, bench).count() == 0 and decontaminate.leaked_items(df, bench.limit(0)).count() == 0
 
 
+def test_leaked_items_with_repeated_and_null_ids_and_repeated_shingles(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"b{rng.randrange(900)}" for _ in range(n))
+    texts = [words(40) for _ in range(4)]
+    items = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (3, texts[3])]
+    df = spark.createDataFrame([(k, "d e f " + t + " g h") for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], str(r["item_id"]), r["similarity"], r["start"], r["n_windows"] > 0) for r in decontaminate.leaked_items(df, bench).collect())
+    assert got == [(0, "1", 1.0, 3, True), (1, "None", 1.0, 3, True), (2, "None", 1.0, 3, True), (3, "2", 1.0, 3, True), (3, "3", 1.0, 3, True)]
+    # a seventh of the shingles is one repeated shingle that the other text does not have
+    pairs = [words(210) for _ in range(20)]
+    bench = spark.createDataFrame([(k, t + " x" * 33) for k, t in enumerate(pairs)], "item_id long, text string")
+    df = spark.createDataFrame([(k, t + " y" * 33) for k, t in enumerate(pairs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaked_items(df, bench).collect()}
+    assert got == {(k, k): round(206 / 272, 6) for k in range(20)}
+
+
 def test_encoder_equals_the_tokenizer():
     encode, rng = tokens.Encoder(*tokens.public_vocabulary()), random.Random(2)
     parts = [" ", "  ", "\n", "a", "the", "é", "don't", " \n", "<|endoftext|>", "12", "!?", "\t", "漢字", "\x1c", " ", "'ll", "­", "\r"]
