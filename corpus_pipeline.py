@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the outputs are written
 as Parquet and read again in between. All but the last return the columns of ``documents``.
+
+Verdicts hold for rows, not for ids: each stage numbers its input's rows in a written table and joins on the
+number. Rows with equal ids, and rows without one, are documents of their own. Where an earlier document has
+precedence, rows are ordered by doc_id, null last, then by content.
 """
 
 from __future__ import annotations
@@ -22,22 +26,35 @@ from gaugeflow.session import Scratch
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, name: str, in_order: bool = False) -> DataFrame:
+    """``COLUMNS`` and ``_row``, a number of its own for each row; with ``in_order`` it follows doc_id, null last, and content."""
+    rows = docs.select(*COLUMNS)
+    if in_order:
+        rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "lang", "source", "n_chars")
+    return Scratch(spark, name).table(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    rejected = quality_rules(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(spark, docs, "quality-rows")
+    rejected = quality_rules(rows, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(rejected, "_row", "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays, that with the smallest doc_id; a null doc_id comes last."""
+    rows = _numbered(spark, docs, "near-rows")
+    groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", rank).alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word sequences that an earlier document has are cut; no document goes, and texts without any keep their spacing."""
-    cut = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("cut"))
-    joined = docs.select(*COLUMNS).join(cut, "doc_id", "left")
+    """Word sequences that an earlier row has are cut; no row goes, and texts without any keep their spacing."""
+    rows = _numbered(spark, docs, "repeat-rows", in_order=True)
+    cut = remove_repeats(rows, id_col="_row").where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("text").alias("cut"))
+    joined = rows.join(cut, "_row", "left")
     text = F.coalesce("cut", "text")
     n_chars = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut").cast("long"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -45,8 +62,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaked = leaked_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(spark, docs, "leak-rows")
+    leaked = leaked_items(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaked, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +77,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("packing", packing),
 ]
 
-#: The robust estimates of the first stage and the packing of the last have no SQL form; tests compare with brute force.
+#: The robust estimates of the first stage and the packing of the last have no SQL form; tests compare the stages and run() with brute force by row.
 ORACLE_SQL = None
 
 

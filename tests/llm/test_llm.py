@@ -279,3 +279,67 @@ def test_pipeline_stages(docs, empty, spark, tmp_path):
             out = stage(spark, df, str(tmp_path))
             assert out.columns == docs.columns and {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in df.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_against_brute_force_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    item, passage, near = words(40), words(60), words(100)
+    near_too = near[:99] + ["other"]
+    texts = [(1, near), (2, near_too), (None, near), (5, words(30) + passage), (7, words(40) + passage), (7, words(80)), (7, passage + words(20)), (9, words(3)), (9, words(70)), (None, words(4)), (None, words(60) + passage), (11, words(20) + item), (11, words(90)), (None, item + words(15)), (None, words(50))]
+    texts += [(100 + k, words(rng.randint(40, 120))) for k in range(30)]
+    rows = [(i, " ".join(w), "en", "s", k) for k, (i, w) in enumerate(texts)]
+    rows += [(13, rows[12][1][:200], "en", "s", 900)] * 2
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda r: (r[0] is None, r[0] or 0, str(r))
+
+    verdicts = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], DOCS)).collect()}
+
+    def shingles(text, n=5):
+        w = text.lower().split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def near_copies(rows):
+        group = list(range(len(rows)))
+        sets = [shingles(r[1]) for r in rows]
+        for a in range(len(rows)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    x, y = group[a], group[b]
+                    group = [y if g == x else g for g in group]
+        return [min((r for r, g in zip(rows, group) if g == h), key=order) for h in set(group)]
+
+    def cut(rows):
+        out, seen = [], set()
+        for r in sorted(rows, key=order):
+            w, own = r[1].split(), []
+            gone = [False] * len(w)
+            for s in range(len(w) - 49):
+                own.append(tuple(w[s : s + 50]))
+                if own[-1] in seen:
+                    gone[s : s + 50] = [True] * 50
+            seen |= set(own)
+            text = " ".join(x for x, g in zip(w, gone) if not g)
+            out.append((r[0], text, *r[2:4], len(text) if any(gone) else r[4]))
+        return out
+
+    def clean(rows):
+        return [r for r in rows if " ".join(item) not in r[1]]
+
+    want = [r for k, r in enumerate(rows) if verdicts[k]]
+    assert 2 <= len(rows) - len(want) and any(r[0] == 9 for r in want)
+    key = lambda rows: sorted((tuple(r) for r in rows), key=order)
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (_, stage), expect in zip(corpus_pipeline.STAGES, (lambda rows: want, near_copies, cut, clean)):
+        before, want = want, expect(want)
+        got = stage(spark, got, str(tmp_path)).collect()
+        assert key(got) == key(want)
+        assert expect is not cut or sum(a != b for a, b in zip(key(before), key(want))) >= 3
+        got = spark.createDataFrame(got, DOCS)
+    encode = tokens.Encoder(*tokens.public_vocabulary())
+    pieces = [(i, 0, zlib.crc32(b)) for i, b in ((r[0], encode(r[1]) + bytes(4)) for r in want)]
+    ran = [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert key(ran) == key(pieces)
