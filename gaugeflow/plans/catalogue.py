@@ -331,7 +331,9 @@ def emd_identity(spark, sf_dir):
 def mode_groups(spark, sf_dir):
     """Each window's noise-assisted modes in three bands, their entropies and the band of each branch; no SQL twin."""
     windows = _windows(spark, sf_dir)
-    found = decompose.decompose(windows, ["key", "origin"], trials=20)
+    # a window is few bytes and much work, so the number of tasks is given, which keeps small ones apart
+    spread = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "origin")
+    found = decompose.decompose(spread, ["key", "origin"])
     scale = F.greatest(F.lit(1.0), F.array_max("x"))
     exact = decompose.band_error(F.col("x"), F.col("bands").cast("array<array<double>>")) < 1e-5 * scale
     return windows.join(found, ["key", "origin"]).select("key", "origin", "n_modes", "code", F.transform("band_entropy", lambda e: F.round(e, 4)).alias("band_entropy"), route_by_entropy(F.col("band_entropy"), 2).alias("high"), exact.alias("exact"))

@@ -132,3 +132,18 @@ def test_target_contract(spark, tmp_path):
     assert ok["valid"] and ok["corr"] > 0.999
     bad = runs.target_faults(runs.read_targets(spark, str(tmp_path / "bad.csv")), windows).first()
     assert (bad["missing"], bad["unknown"], bad["repeated"], bad["not_finite"], bad["negative"], bad["valid"]) == (1, 1, 0, 1, 47, False)
+
+
+def test_mode_groups_uses_the_whole_ensemble(spark, monkeypatch):
+    from gaugeflow.operators import decompose
+    from gaugeflow.plans import catalogue
+
+    rng = np.random.default_rng(3)
+    rows = [("k", i, (np.sin(np.arange(120) / 4) + rng.normal(0, 0.5, 120)).tolist()) for i in range(2)]
+    df = spark.createDataFrame(rows, "key string, origin long, x array<double>")
+    monkeypatch.setattr(catalogue, "_windows", lambda spark, sf_dir: df)
+    got, whole, fifth = (
+        {r["origin"]: [round(float(e), 4) for e in r["band_entropy"]] for r in found.collect()}
+        for found in (catalogue.QUERIES["mode_groups"](spark, ""), decompose.decompose(df, ["key", "origin"], trials=100), decompose.decompose(df, ["key", "origin"], trials=20))
+    )
+    assert whole != fifth and all(np.allclose(got[i], whole[i], atol=2e-4) for i in whole)
