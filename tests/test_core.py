@@ -102,3 +102,22 @@ def test_same_rows_as_duckdb(spark, name):
     columns = sorted(got.columns)
     key = lambda df: sorted(tuple(round(float(v), 5) if isinstance(v, float) else str(v) for v in r) for r in df[columns].itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_ridge_scores_use_the_whole_standardised_history(spark, monkeypatch):
+    from gaugeflow.plans import catalogue
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 40)) * np.geomspace(0.01, 1000, 40) + 5
+    x[:, 7] = 5.0
+    y = np.stack([x[:, 0] * 30 + 2, x[:, 3] - x[:, 39] / 100], axis=1) + rng.normal(0, 0.1, (80, 2))
+    df = spark.createDataFrame([("k", i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "key string, origin long, x array<double>, y array<double>")
+    std = x.std(axis=0)
+    z = np.hstack([(x - x.mean(axis=0)) / np.where(std < 1e-8, 1, std), np.ones((80, 1))])
+    want = z @ np.linalg.solve(z.T @ z + np.diag([1.0] * 40 + [0]), z.T @ y)
+    seen = {}
+    monkeypatch.setattr(catalogue, "_windows", lambda spark, sf_dir: df)
+    monkeypatch.setattr(catalogue.metrics, "score", lambda long, name: seen.setdefault("rows", long))
+    catalogue.QUERIES["ridge_scores"](spark, "")
+    got = {(r["origin"], r["lead_h"]): r["ridge"] for r in seen["rows"].collect()}
+    assert np.allclose([[got[i, 1], got[i, 2]] for i in range(80)], want, atol=1e-6)
