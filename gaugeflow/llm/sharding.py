@@ -1,15 +1,20 @@
 """A uniform shuffle into shards of exact size (operator 7).
 
-The rows of each source partition go to target blocks by a communication matrix whose entries are drawn
-from the exact multivariate hypergeometric law, given the partition's rows and the blocks' sizes. Rows
-are permuted within their source partition, exchanged as the matrix says, and permuted again within
+The rows of each source group go to target blocks by a communication matrix whose entries are drawn
+from the exact multivariate hypergeometric law, given the groups' rows and the blocks' sizes. Rows
+are permuted within their source group, exchanged as the matrix says, and permuted again within
 their block; the blocks of a shard follow each other. Every assignment of rows to slots is equally
-likely, shard sizes differ by one at most, and no step sorts or gathers more than one partition or block.
+likely, and shard sizes differ by one at most.
 
-The driver holds a count for each of at most ``max_parts`` source groups and draws the matrix, at most
+A group or block is permuted by ranks of random keys, and its rows are dealt by the leading bits of the key: the
+rows of a range are sorted in one task, and the counts of the ranges before it are added. Ranges follow
+the number of rows (``block_rows`` each on average), so work spreads over more tasks as the data grow, while the
+matrix keeps its size: the driver holds a count for each of at most ``max_parts`` source groups and draws at most
 ``max_parts`` by ``shards * max_blocks`` numbers, also the size of the one broadcast. Rows are keyed by
 their place in a written table, so a recomputed task repeats its draws and equal rows need no key.
-Nulls, ties and repeated rows are rows like any other; no rows give no rows.
+
+Defined results: nulls, ties and repeated rows are rows like any other; columns named ``shard`` and ``slot`` are
+replaced, any other names are free; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,17 +28,45 @@ from pyspark.sql import functions as F
 from gaugeflow.session import Scratch
 
 
+def _rest(n: float) -> float:
+    """log(n!) less Stirling's formula without its series."""
+    if n < 16:
+        return math.lgamma(n + 1) - (0.5 * math.log(2 * math.pi * n) + n * math.log(n) - n) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation."""
+    d = x - mean
+    if abs(d) > 0.1 * (x + mean):
+        return x * math.log(x / mean) - d
+    v = d / (x + mean)
+    total, term, k = d * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        after = total + term / k
+        if after == total:
+            return total
+        total = after
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """The logarithm of the binomial law's probability of x (Loader, 2000), exact to rounding for any n."""
+    if x in (0, n):
+        return n * math.log1p(-p) if x == 0 else n * math.log(p)
+    tails = _rest(n) - _rest(x) - _rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return tails + 0.5 * (math.log(n) - math.log(2 * math.pi) - math.log(x) - math.log(n - x))
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
     """How many of n draws without replacement from good + bad are good: inversion outward from the mode."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-
-    def choose(a: int, b: int) -> float:
-        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-
-    peak = math.exp(choose(good, mode) + choose(bad, n - mode) - choose(good + bad, n))
+    p = n / (good + bad)
+    peak = math.exp(_log_binomial(mode, good, p) + _log_binomial(n - mode, bad, p) - _log_binomial(n, good + bad, p))
     while True:  # again only where rounding left the sum of all probabilities below the draw
         left = rng.random() - peak
         if left <= 0:
@@ -77,29 +110,48 @@ def _ends(counts: list[int]) -> list[int]:
     return [sum(counts[: i + 1]) for i in range(len(counts))]
 
 
+def _ranked(rows: DataFrame, keys: list[str], seed: int, ranges: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, the rank from 1 of each row's random key within ``keys``."""
+    bits = max(0, (ranges - 1).bit_length())
+    keyed = rows.withColumn("key", F.xxhash64(F.lit(seed), "row"))
+    if not bits:
+        return keyed.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("key", "row"))).drop("key")
+    # the key's order is that of its value as a signed number, so the leading bits are shifted with the sign
+    keyed = keyed.withColumn("range", F.shiftright("key", 64 - bits))
+    counts = keyed.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("key", "row"))
+    ranked = keyed.withColumn("own", own).join(counts, [*keys, "range"])
+    return ranked.withColumn(name, F.col("before") + F.col("own")).drop("key", "range", "own", "before")
+
+
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 7, block_rows: int = 1 << 20, max_parts: int = 256, max_blocks: int = 32) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard), which replace columns of these names."""
     spark = df.sparkSession
     scratch = Scratch(spark, "shards")
-    keyed = df.drop("shard", "slot").select("*", F.monotonically_increasing_id().alias("_row"), (F.spark_partition_id() % max_parts).alias("_part"))
+    given = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")))
+    keyed = df.select(given.alias("given"), F.monotonically_increasing_id().alias("row"), (F.spark_partition_id() % max_parts).alias("part"))
     rows = scratch.table(keyed, "rows")
-    counts = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     if not total:
-        return rows.drop("_row", "_part").withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
+        return rows.select("given.*", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     blocks = min(max_blocks, max(1, -(-total // (shards * block_rows))))
     sizes = [_even(n, blocks) for n in _even(total, shards)]
     lines = []
-    for (part, _), line in zip(counts, communication_matrix([n for _, n in counts], [n for s in sizes for n in s], seed), strict=True):
+    matrix = communication_matrix([n for _, n in counts], [n for s in sizes for n in s], seed)
+    for (part, _), line in zip(counts, matrix, strict=True):
         ends = _ends(line)
         by_shard = [ends[i * blocks : (i + 1) * blocks] for i in range(shards)]
-        lines.append(f"({part}, array({', '.join(f'{e[-1]}L' for e in by_shard)}), array({', '.join(f'array({", ".join(f"{x}L" for x in e)})' for e in by_shard)}))")
-    matrix = spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t(_part, _shard_ends, _block_ends)")
-    own = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed), "_row"), "_row")
-    sent = rows.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(matrix), "_part")
-    sent = sent.withColumn("shard", F.size(F.filter("_shard_ends", lambda e: e < F.col("_rank"))))
-    sent = sent.withColumn("_block", F.size(F.filter(F.get("_block_ends", "shard"), lambda e: e < F.col("_rank"))))
+        lines.append((part, [e[-1] for e in by_shard], by_shard))
+    matrix = spark.createDataFrame(lines, "part int, shard_ends array<long>, block_ends array<array<long>>")
+    largest = max(n for _, n in counts)
+    sent = _ranked(rows, ["part"], seed, -(-largest // block_rows), "rank").join(F.broadcast(matrix), "part")
+    sent = sent.withColumn("shard", F.size(F.filter("shard_ends", lambda e: e < F.col("rank"))))
+    sent = sent.withColumn("block", F.size(F.filter(F.get("block_ends", "shard"), lambda e: e < F.col("rank"))))
+    sent = sent.select("given", "row", "shard", "block")
     before = F.array(*(F.array(*(F.lit(e - n).cast("long") for e, n in zip(_ends(s), s, strict=True))) for s in sizes))
-    own = Window.partitionBy("shard", "_block").orderBy(F.xxhash64(F.lit(seed + 1), "_row"), "_row")
-    placed = sent.withColumn("slot", F.get(F.get(before, F.col("shard")), F.col("_block")) + F.row_number().over(own) - 1)
-    return placed.drop("_row", "_part", "_rank", "_shard_ends", "_block_ends", "_block")
+    placed = _ranked(sent, ["shard", "block"], seed + 1, -(-max(max(s) for s in sizes) // block_rows), "place")
+    slot = F.get(F.get(before, F.col("shard")), F.col("block")) + F.col("place") - 1
+    return placed.select("given.*", "shard", slot.cast("long").alias("slot"))
