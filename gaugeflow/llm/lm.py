@@ -4,8 +4,8 @@ Counts first: each partition counts its words (64-bit hashes; one end token foll
 counts are summed over all training documents. The network reads and predicts units, whose number follows
 the root of the vocabulary: one half are the most frequent tokens, the other half are classes that share all
 other tokens, unknown ones included, by their hash. So every token has a vector as context and as target. The
-counts of (unit before, unit) at a distance of one and of two tokens are kept as a written table of one row for
-each context, with which noise-contrastive estimation needs no text again. They cover all training documents
+counts of (unit before, unit) at a distance of one and of two tokens are kept as a written table of groups of
+contexts, with which noise-contrastive estimation needs no text again. They cover all training documents
 but those of one fold, the one after the held-out fold, which decide on the mixture below.
 
 For either distance log P(unit | context) is proportional to the product of two learned vectors plus a bias.
@@ -214,35 +214,52 @@ def train(pairs: np.ndarray, dim: int = 24, steps: int = 120, rate: float = 0.05
     return improve(n, fresh(len(n), q, dim, seed), q, steps, (rate, 0.0))
 
 
-def _trainer(models, q: np.ndarray, steps: int, rates: tuple[float, float]):
-    """One group of contexts: its vectors, its copy of the target vectors and its share of the corpus."""
+def _packed(pdf):
+    """One row for a group of contexts: the contexts, where each one's counts end, their units and values."""
+    import pandas as pd
+
+    ends = np.cumsum([len(u) for u in pdf["units"]]).astype(np.int64)
+    units, c = (np.concatenate(pdf[name].to_list()) for name in ("units", "c"))
+    row = {"distance": int(pdf["distance"].iloc[0]), "at": pdf["context"].to_numpy(np.int64).tobytes(), "ends": ends.tobytes()}
+    return pd.DataFrame([row | {"units": units.astype(np.int32).tobytes(), "c": c.astype(np.float32).tobytes()}])
+
+
+PACKED = "distance int, at binary, ends binary, units binary, c binary"
 
-    def run(pdf):
-        import pandas as pd
 
-        at, distance = pdf["context"].to_numpy(), int(pdf["distance"].iloc[0])
+def _trainer(models, q: np.ndarray, steps: int, rates: tuple[float, float]):
+    """For each group of contexts its vectors, its copy of the target vectors and its share of the corpus."""
+
+    def one(group):
+        at, ends = (np.frombuffer(group[name], np.int64) for name in ("at", "ends"))
         n = np.zeros((len(at), len(q)), np.float32)
-        for i, (units, c) in enumerate(zip(pdf["units"], pdf["c"], strict=True)):
-            n[i, units] = c
-        model = models.value[distance]
+        rows = np.repeat(np.arange(len(at)), np.diff(ends, prepend=0))
+        n[rows, np.frombuffer(group["units"], np.int32)] = np.frombuffer(group["c"], np.float32)
+        model = models.value[group["distance"]]
         got = improve(n, LogBilinear(model.context[at], model.target, model.bias), q, steps, rates, (PRIOR, PRIOR / BLOCKS))
-        row = {"distance": distance, "mass": float(n.sum()), "at": at.astype(np.int64).tobytes()}
-        return pd.DataFrame([row | {k: getattr(got, k).tobytes() for k in ("context", "target", "bias")}])
+        row = {"distance": group["distance"], "mass": float(n.sum()), "at": group["at"]}
+        return row | {k: getattr(got, k).tobytes() for k in ("context", "target", "bias")}
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for group in pdf.to_dict("records"):
+                yield pd.DataFrame([one(group)])
 
     return run
 
 
 def train_on_table(rows: DataFrame, q: np.ndarray, dim: int = 32, rounds: int = 6, steps: int = 20, rate: float = 0.08, seed: int = 9) -> list[LogBilinear]:
-    """A model for each distance from ``distance, context, units, c`` (one row for each context). In a round each group
-    of contexts trains on its own counts; target vectors and biases are then averaged by the groups' mass."""
+    """A model for each distance from packed groups of contexts. In a round each group trains on its own counts;
+    target vectors and biases are then averaged by the groups' mass."""
     sc = rows.sparkSession.sparkContext
     models = [fresh(len(q) + 1, q, dim, seed + d) for d in range(DISTANCES)]
-    grouped = rows.groupBy("distance", (F.col("context") % BLOCKS).alias("block"))
     kinds = "distance int, mass double, at binary, context binary, target binary, bias binary"
     for k in range(rounds):
         rates = (rate * (rounds - k) / rounds, rate * (rounds - k - 1) / rounds)
         shared = sc.broadcast(models)
-        found = grouped.applyInPandas(_trainer(shared, q, steps, rates), kinds).toPandas()  # vectors of 2 * BLOCKS groups
+        found = rows.mapInPandas(_trainer(shared, q, steps, rates), kinds).toPandas()  # vectors of 2 * BLOCKS groups
         shared.unpersist()
         for d, model in enumerate(models):
             parts = found[found["distance"] == d].sort_values("at")
@@ -346,7 +363,7 @@ def _vocabulary(counts: DataFrame, v: int, units: int, head: int) -> Vocabulary:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, head: int = 1 << 18, folds: int = 7, fold: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
-    ``classes`` is the number of units; without it, four times the root of the vocabulary's size, at least 2048.
+    ``classes`` is the number of units; without it, the root of the vocabulary's size, at least 2048.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -354,7 +371,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.mapInArrow(_word_counter(folds, fold), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     counts = scratch.table(found, "counts")
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    voc = _vocabulary(counts, v, classes or max(2048, 4 * math.isqrt(v)), head)
+    voc = _vocabulary(counts, v, classes or max(2048, math.isqrt(v)), head)
     shared = spark.sparkContext.broadcast(voc)
     model = spark.sparkContext.broadcast(_fit(scratch, texts, counts, shared, folds, fold))
     complete = v <= len(voc.words)
@@ -385,7 +402,11 @@ def _fit(scratch: Scratch, texts: DataFrame, counts: DataFrame, shared, folds: i
     cells = pairs.groupBy(F.expr(f"pair div {w}").alias("row")).agg(F.collect_list(cell).alias("cells"))
     context, distance = F.expr(f"cast(row % {w + 1} as int)"), F.expr(f"cast(row div {w + 1} as int)")
     lists = [F.col("cells.unit").alias("units"), F.col("cells.c").alias("c")]
-    rows = scratch.table(cells.select(distance.alias("distance"), context.alias("context"), *lists), "contexts")
+    cells = cells.select(distance.alias("distance"), context.alias("context"), *lists)
+    # a number of partitions of its own keeps the few groups apart
+    spread = cells.repartition(DISTANCES * BLOCKS, "distance", F.col("context") % BLOCKS)
+    packed = spread.groupBy("distance", F.col("context") % BLOCKS).applyInPandas(_packed, PACKED)
+    rows = scratch.table(packed, "contexts")
 
     held = np.zeros(w)  # what the counts (c + 1) of each unit's tokens add up to, one unknown token in each class
     held[voc.units[voc.units >= 0]] = voc.counts[voc.units >= 0] + 1
