@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.series import huber
-from gaugeflow.operators.metrics import EPS
+from gaugeflow.operators.metrics import EPS, nse_by
 
 
 def losses(rows: DataFrame, pred: str, delta: float = 0.5) -> DataFrame:
@@ -29,10 +29,23 @@ def subset_nse(rows: DataFrame, flags: DataFrame, pred: str) -> DataFrame:
     ``flags`` has ``key, origin, leaked``; a window without a flag counts as seen.
     """
     flagged = rows.join(flags.select("key", "origin", "leaked"), ["key", "origin"], "left").withColumn("seen", F.coalesce("leaked", F.lit(True)))
-    own = Window.partitionBy("seen", "key")
-    centred = flagged.withColumn("om", F.avg("obs").over(own))
-    sums = centred.groupBy("seen", "key").agg(F.sum(F.pow(F.col(pred) - F.col("obs"), 2)).alias("res"), F.sum(F.pow(F.col("obs") - F.col("om"), 2)).alias("oo"))
-    return sums.where(F.col("oo") > EPS).select("seen", "key", (1 - F.col("res") / F.col("oo")).alias("nse"))
+    return nse_by(flagged, pred, "seen", "key")
+
+
+def subset_medians(rows: DataFrame, flags: DataFrame, pred: str) -> DataFrame:
+    """``subset, n_keys, median_nse`` for clean, overlapping and target-seen windows.
+
+    ``flags`` has ``key, origin, input_seen, target_seen``; a window without flags counts as seen. Groups without
+    variation are dropped before the median; a subset without groups has a null median.
+    """
+    seen = [F.coalesce(c, F.lit(True)).alias(c) for c in ("input_seen", "target_seen")]
+    flagged = rows.join(flags.select("key", "origin", "input_seen", "target_seen"), ["key", "origin"], "left").select("key", "obs", pred, *seen)
+    overlap = F.col("input_seen") | F.col("target_seen")
+    subsets = F.array(F.when(overlap, "overlap").otherwise("clean"), F.when(F.col("target_seen"), "target_seen"))
+    each = flagged.select("key", "obs", pred, F.explode(F.array_compact(subsets)).alias("subset"))
+    found = nse_by(each, pred, "subset", "key").groupBy("subset").agg(F.count("*").alias("n_keys"), F.median("nse").alias("median_nse"))
+    every = flags.sparkSession.createDataFrame([("clean",), ("overlap",), ("target_seen",)], "subset string")
+    return every.join(found, "subset", "left").select("subset", F.coalesce("n_keys", F.lit(0)).alias("n_keys"), "median_nse")
 
 
 def signed_rank(pairs: DataFrame, difference: str = "d") -> DataFrame:
@@ -47,3 +60,29 @@ def signed_rank(pairs: DataFrame, difference: str = "d") -> DataFrame:
     n = F.col("n")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     return sums.select("key", "n", "w_plus", F.when(variance > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(variance)).alias("z"))
+
+
+def normal_tail(z):
+    """The upper tail of the normal law, by the rational approximation 26.2.17 of Abramowitz and Stegun (error below 1e-7)."""
+    a = F.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-a * a / 2) / 2.5066282746310002 * series
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def significance(pairs: DataFrame, difference: str = "d", least: int = 6) -> DataFrame:
+    """``key, n, w_plus, p_value, test``: is the difference greater than zero? The signed-rank statistic with its normal
+    approximation from ``least`` pairs on, else the sign test. A group of zeros only has p 1."""
+    ranks = signed_rank(pairs, difference).select("key", "n", "w_plus", "z")
+    d = F.col(difference)
+    signs = pairs.groupBy("key").agg(F.count_if(d > 0).alias("up"), F.count_if(d != 0).alias("m"))
+    # the chance of ``up`` or more of m fair signs, summed over binomial coefficients built step by step
+    steps = F.sequence(F.lit(0), F.col("m").cast("int"))
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("tail"))
+    add = lambda a, k: F.struct((a["c"] * (F.col("m") - k) / (k + 1)).alias("c"), (a["tail"] + F.when(k >= F.col("up"), a["c"]).otherwise(0.0)).alias("tail"))
+    sign = F.aggregate(steps, start, add, lambda a: a["tail"]) / F.pow(F.lit(2.0), F.col("m"))
+    joined = signs.join(ranks, "key", "left")
+    by_rank = (F.col("m") >= least) & F.col("z").isNotNull()
+    p = F.when(F.col("m") == 0, 1.0).when(by_rank, normal_tail(F.col("z"))).otherwise(F.when(F.col("m") < 200, sign))
+    return joined.select("key", F.col("m").alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), p.alias("p_value"), F.when(by_rank, "rank").otherwise("sign").alias("test"))

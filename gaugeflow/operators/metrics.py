@@ -12,29 +12,35 @@ EPS = 1e-10
 
 
 def score(rows: DataFrame, pred: str, key: str = "key", obs: str = "obs") -> DataFrame:
-    """``key, n_values, nse, kge, kge_r, kge_alpha, kge_beta, rmse, mae``; one exchange on the key serves both passes."""
-    own = Window.partitionBy(key)
+    """``key, n_values, nse, kge, kge_r, kge_alpha, kge_beta, rmse, mae`` from mergeable moments, so tasks add up first."""
     o, p = F.col(obs), F.col(pred)
-    centred = rows.select(key, o.alias("o"), p.alias("p"), F.avg(o).over(own).alias("om"), F.avg(p).over(own).alias("pm"))
-    e, do, dp = F.col("p") - F.col("o"), F.col("o") - F.col("om"), F.col("p") - F.col("pm")
-    sums = centred.groupBy(key).agg(F.count("*").alias("n"), F.sum(e * e).alias("res"), F.sum(do * do).alias("oo"), F.sum(dp * dp).alias("pp"), F.sum(do * dp).alias("op"), F.first("om").alias("om"), F.first("pm").alias("pm"), F.avg(F.abs(e)).alias("mae"))
-    so, sp = F.sqrt(F.col("oo") / F.col("n")), F.sqrt(F.col("pp") / F.col("n"))
-    r = F.when((so <= EPS) | (sp <= EPS), 1.0).otherwise(F.try_divide(F.col("op"), F.sqrt(F.col("oo") * F.col("pp"))))
+    e = p - o
+    moments = rows.groupBy(key).agg(
+        F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(o).alias("om"), F.avg(p).alias("pm"),
+        F.stddev_pop(o).alias("so"), F.stddev_pop(p).alias("sp"), F.covar_pop(o, p).alias("op"), (F.var_pop(o) * F.count("*")).alias("oo"),
+    )
+    so, sp = F.col("so"), F.col("sp")
+    r = F.when((so <= EPS) | (sp <= EPS), 1.0).otherwise(F.try_divide(F.col("op"), so * sp))
     alpha = F.when(so <= EPS, 1.0).otherwise(F.try_divide(sp, so))
     beta = F.when(F.abs("om") <= EPS, 1.0).otherwise(F.try_divide(F.col("pm"), F.col("om")))
-    parts = sums.select("*", r.alias("kge_r"), alpha.alias("kge_alpha"), beta.alias("kge_beta"))
+    parts = moments.select("*", r.alias("kge_r"), alpha.alias("kge_alpha"), beta.alias("kge_beta"))
     kge = 1 - F.sqrt(F.pow(F.col("kge_r") - 1, 2) + F.pow(F.col("kge_alpha") - 1, 2) + F.pow(F.col("kge_beta") - 1, 2))
-    nse = F.when(F.col("oo") <= EPS, 0.0).otherwise(1 - F.try_divide("res", "oo"))
-    return parts.select(key, F.col("n").alias("n_values"), nse.alias("nse"), kge.alias("kge"), "kge_r", "kge_alpha", "kge_beta", F.sqrt(F.col("res") / F.col("n")).alias("rmse"), "mae")
+    nse = F.when(F.col("oo") <= EPS, 0.0).otherwise(1 - F.try_divide(F.col("mse") * F.col("n"), F.col("oo")))
+    rmse = F.sqrt("mse")
+    return parts.select(key, F.col("n").alias("n_values"), nse.alias("nse"), kge.alias("kge"), "kge_r", "kge_alpha", "kge_beta", rmse.alias("rmse"), "mae")
+
+
+def nse_by(rows: DataFrame, pred: str, *keys: str) -> DataFrame:
+    """``keys, nse`` with each group's own mean; a group without variation has no row."""
+    error = F.sum(F.pow(F.col(pred) - F.col("obs"), 2))
+    sums = rows.groupBy(*keys).agg(error.alias("res"), (F.var_pop("obs") * F.count("*")).alias("oo"))
+    return sums.where(F.col("oo") > EPS).select(*keys, (1 - F.col("res") / F.col("oo")).alias("nse"))
 
 
 def score_buckets(rows: DataFrame, pred: str, width: int = 12) -> DataFrame:
     """``key, bucket, nse`` over lead buckets of ``width`` hours with the bucket's own mean."""
     bucket = F.floor((F.col("lead_h") - 1) / width).cast("long")
-    own = Window.partitionBy("key", "bucket")
-    centred = rows.withColumn("bucket", bucket).withColumn("om", F.avg("obs").over(own))
-    sums = centred.groupBy("key", "bucket").agg(F.sum(F.pow(F.col(pred) - F.col("obs"), 2)).alias("res"), F.sum(F.pow(F.col("obs") - F.col("om"), 2)).alias("oo"))
-    return sums.where(F.col("oo") > EPS).select("key", "bucket", (1 - F.col("res") / F.col("oo")).alias("nse"))
+    return nse_by(rows.withColumn("bucket", bucket), pred, "key", "bucket")
 
 
 def summarise(scores: DataFrame) -> DataFrame:

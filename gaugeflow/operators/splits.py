@@ -6,20 +6,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _by_hash(rows: DataFrame, seed: int, name: str, *keys: str) -> DataFrame:
+    """``rows`` with ``rank`` (from 1) by md5(seed:name), then name, within ``keys``, and the number ``n`` of their rows.
+
+    A task ranks the rows of one range of hashes; the counts of the ranges before it are added, so no group has to fit
+    into one task.
+    """
+    hashed = rows.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string"))))
+    hashed = hashed.withColumn("range", F.substring("hash", 1, 2))
+    counts = hashed.groupBy(*keys, "range").agg(F.count("*").alias("m"))
+    all_of = Window.partitionBy(*keys)  # at most 256 rows for each key
+    before = F.coalesce(F.sum("m").over(all_of.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, "range", before.alias("before"), F.sum("m").over(all_of).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("hash", name))
+    ranked = hashed.withColumn("own", own).join(counts, [*keys, "range"])
+    return ranked.withColumn("rank", F.col("before") + F.col("own")).drop("hash", "range", "own", "before")
+
+
 def hold_out_keys(keys: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """``key, held_out``: the first ``round(n * fraction)`` keys, at least one, in order of md5(seed:key)."""
     distinct = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "key")), "key"))
-    n = distinct.agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).alias("n"))
-    return distinct.withColumn("k", rank).crossJoin(F.broadcast(n)).select("key", (F.col("k") <= F.col("n")).alias("held_out"))
+    ranked = _by_hash(distinct, seed, "key")
+    return ranked.select("key", (F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("n") * fraction))).alias("held_out"))
 
 
 def hold_out_within(rows: DataFrame, key: str, row_id: str, fraction: float, seed: int = 42) -> DataFrame:
     """``key, id, held_out``: in each group the first ``floor(n * fraction)`` rows, at least one, by md5 order."""
-    ids = rows.select(F.col(key).alias("key"), F.col(row_id).alias("id"))
+    ranked = _by_hash(rows.select(F.col(key).alias("key"), F.col(row_id).alias("id")).where("key is not null"), seed, "id", "key")
+    return ranked.select("key", "id", (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).alias("held_out"))
+
+
+def assign_components(rows: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """``key, component, size, held_out`` from ``key, component``: whole components are held out, the smallest first
+    (equal ones by hash), until ``fraction`` of the key's rows is reached; none may lift the total over twice the
+    fraction, or over one half. A key whose smallest component is too large for that holds out the smallest.
+
+    Sizes ascend, so once one is too large all later ones are, and a running sum decides.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     own = Window.partitionBy("key")
-    rank = F.row_number().over(own.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id"))
-    return ids.select("key", "id", (rank <= F.greatest(F.lit(1), F.floor(F.count("*").over(own) * fraction))).alias("held_out"))
+    jitter = F.md5(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")))
+    order = own.orderBy("size", jitter, "component")
+    total = F.sum("size").over(own)
+    reached = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    target, cap = F.bround(total * fraction), F.floor(total * min(0.5, 2 * fraction))
+    placed = sizes.select("*", reached.alias("reached"), target.alias("target"), cap.alias("cap"), F.row_number().over(own.orderBy("size", "component")).alias("k"), F.min("size").over(own).alias("least"))
+    fits = (F.col("reached") <= F.col("cap")) & (F.col("reached") - F.col("size") < F.col("target"))
+    alone = (F.col("least") > F.col("cap")) & (F.col("k") == 1) & (F.col("target") > 0)
+    return placed.select("key", "component", "size", (fits | alone).alias("held_out"))
+
+
+def split_statistics(assigned: DataFrame) -> DataFrame:
+    """``key, n_rows, n_held, share, n_components, largest`` of ``assign_components``."""
+    held = F.sum(F.when(F.col("held_out"), F.col("size")).otherwise(0))
+    return assigned.groupBy("key").agg(
+        F.sum("size").alias("n_rows"), held.alias("n_held"), (held / F.sum("size")).alias("share"),
+        F.count("*").alias("n_components"), F.max("size").alias("largest"),
+    )
+
+
+def seen_flags(grams_in: DataFrame, grams_x: DataFrame, grams_y: DataFrame, threshold: int = 3, same_key: bool = True) -> DataFrame:
+    """``key, origin, input_seen, target_seen``: does training hold ``threshold`` runs of a window's inputs, or targets?
+
+    Without ``same_key`` runs of any key count, for splits that share none.
+    """
+    on = ["key", "h", "g"] if same_key else ["h", "g"]
+    known = grams_in.withColumn("h", F.xxhash64("g")).select(*on).distinct()
+    each = grams_x.withColumn("part", F.lit("x")).unionByName(grams_y.withColumn("part", F.lit("y"))).withColumn("h", F.xxhash64("g"))
+    hit = each.join(known.withColumn("known", F.lit(1)), on, "left").groupBy("key", "origin")
+    count = lambda part: F.count_if((F.col("part") == part) & F.col("known").isNotNull())
+    return hit.agg((count("x") >= threshold).alias("input_seen"), (count("y") >= threshold).alias("target_seen"))
+
+
+def leak_rates(flags: DataFrame) -> DataFrame:
+    """``key, n, n_input, n_target, rate``: how many windows of each key have inputs or targets that training holds."""
+    either = F.col("input_seen") | F.col("target_seen")
+    return flags.groupBy("key").agg(F.count("*").alias("n"), F.count_if("input_seen").alias("n_input"), F.count_if("target_seen").alias("n_target"), F.avg(either.cast("int")).alias("rate"))
 
 
 def grams(windows: DataFrame, column: str = "x", n: int = 6, least_distinct: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
 from gaugeflow.functions.series import peak_of_means, route_by_entropy, spark_levels
-from gaugeflow.operators import compare, decompose, metrics, ridge, splits
+from gaugeflow.operators import compare, decompose, metrics, reports, ridge, splits
 from gaugeflow.operators.graph import connected_components
 from gaugeflow.sources.panel import cut_windows, hourly_panel, long_targets
 from gaugeflow.streaming.statistics import running_statistics
@@ -63,8 +63,9 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_windows(_panel(spark, sf_dir))
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_targets(with_forecasts(_windows(spark, sf_dir)), *KINDS)
+def _rows(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    kinds = kinds or KINDS
+    return long_targets(with_forecasts(_windows(spark, sf_dir), *kinds), *kinds)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -106,7 +107,7 @@ def norm_global(spark, sf_dir):
 def zscore_roundtrip(spark, sf_dir):
     windows = _windows(spark, sf_dir)
     norm = windows.select("key", F.explode("x").alias("q")).groupBy("key").agg(F.avg("q").alias("m"), F.stddev_pop("q").alias("s"))
-    z = windows.join(F.broadcast(norm), "key").withColumn("z", F.transform("x", lambda v: (v - F.col("m")) / F.col("s")))
+    z = windows.join(norm, "key").withColumn("z", F.transform("x", lambda v: (v - F.col("m")) / F.col("s")))
     error = F.array_max(F.zip_with("x", "z", lambda x, v: F.abs(v * F.col("s") + F.col("m") - x)))
     return z.select("key", "origin", (F.round(F.aggregate("z", F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("z_sum"), (error < 1e-9).alias("exact"))
 
@@ -115,7 +116,7 @@ def _score_query(kind: str) -> None:
     columns = ", ".join(f"round({c}, 6) AS {c}" for c in ("nse", "kge", "kge_r", "kge_alpha", "kge_beta", "rmse", "mae"))
 
     def run(spark, sf_dir):
-        return rounded(metrics.score(_rows(spark, sf_dir), kind))
+        return rounded(metrics.score(_rows(spark, sf_dir, kind), kind))
 
     run.__name__ = f"score_{kind}"
     query(PANEL + SCORES.format(kind=kind) + f"SELECT key, n_values, {columns} FROM full_scores")(run)
@@ -127,12 +128,12 @@ for _kind in KINDS:
 
 @query(PANEL + "b AS (SELECT key, (lead_h - 1) // 12 AS bucket, sum((decay - obs) ** 2) AS res, var_pop(obs) * count(*) AS oo FROM rows GROUP BY ALL) SELECT key, bucket, round(1 - res / oo, 6) AS nse FROM b WHERE oo > 1e-10")
 def score_buckets(spark, sf_dir):
-    return rounded(metrics.score_buckets(_rows(spark, sf_dir), "decay"))
+    return rounded(metrics.score_buckets(_rows(spark, sf_dir, "decay"), "decay"))
 
 
 @query(PANEL + "b AS (SELECT key, (lead_h - 1) // 12 AS bucket, sum((decay - obs) ** 2) AS res, var_pop(obs) * count(*) AS oo FROM rows GROUP BY ALL) SELECT bucket, round(median(1 - res / oo), 6) AS median_nse FROM b WHERE oo > 1e-10 GROUP BY bucket")
 def bucket_medians(spark, sf_dir):
-    return rounded(metrics.score_buckets(_rows(spark, sf_dir), "decay").groupBy("bucket").agg(F.median("nse").alias("median_nse")))
+    return rounded(metrics.score_buckets(_rows(spark, sf_dir, "decay"), "decay").groupBy("bucket").agg(F.median("nse").alias("median_nse")))
 
 
 @query(
@@ -142,7 +143,7 @@ def bucket_medians(spark, sf_dir):
   round(avg(greatest(nse, -1)), 6) AS mean_nse_clip, count(*) AS n_basins, count(*) AS n_basins_total FROM full_scores"""
 )
 def aggregate_summary(spark, sf_dir):
-    return rounded(metrics.summarise(metrics.score(_rows(spark, sf_dir), "decay")))
+    return rounded(metrics.summarise(metrics.score(_rows(spark, sf_dir, "decay"), "decay")))
 
 
 @query(
@@ -152,12 +153,12 @@ SELECT key, round(sum(decay) FILTER (obs >= cut) / sum(obs) FILTER (obs >= cut),
   round(100 * (sum(decay) FILTER (kp <= k) - sum(obs) FILTER (ko <= k)) / sum(obs) FILTER (ko <= k), 6) AS fhv FROM r JOIN c USING (key) GROUP BY key"""
 )
 def high_flow(spark, sf_dir):
-    return rounded(metrics.high_flow(_rows(spark, sf_dir), "decay"))
+    return rounded(metrics.high_flow(_rows(spark, sf_dir, "decay"), "decay"))
 
 
 @query(PANEL + "s AS (SELECT lead_h, sum((decay - obs) ** 2) AS m, sum((persistence - obs) ** 2) AS b FROM rows GROUP BY lead_h) SELECT lead_h, round(1 - m / b, 6) AS skill FROM s")
 def skill_by_lead(spark, sf_dir):
-    return rounded(metrics.skill_by_lead(_rows(spark, sf_dir), "decay"))
+    return rounded(metrics.skill_by_lead(_rows(spark, sf_dir, "persistence", "decay"), "decay"))
 
 
 @query("WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events), r AS (SELECT key, row_number() OVER (ORDER BY md5('42:' || key), key) AS k, count(*) OVER () AS n FROM k) SELECT key, k <= greatest(1, round_even(n * 0.12, 0)) AS held_out FROM r")
@@ -221,12 +222,25 @@ def scoreboard(spark, sf_dir):
     return rounded(medians.crossJoin(F.broadcast(bar)).select(place.cast("long").alias("place"), "kind", F.col("v").alias("median_nse"), (F.col("v") - F.col("bar")).alias("delta")))
 
 
-@query(PANEL + _ALL + ", d AS (SELECT a.key, a.nse - b.nse AS d FROM all_scores a JOIN all_scores b USING (key) WHERE a.kind = 'decay' AND b.kind = 'persistence') SELECT count(*) AS n_pairs, round(avg(d), 6) AS mean_delta, CASE WHEN count(*) >= 3 THEN avg(d) >= 0.02 AND bool_and(d > 0) END AS adopt FROM d")
+@query(
+    PANEL + _ALL + """, d AS (SELECT a.key, a.nse - b.nse AS d FROM all_scores a JOIN all_scores b USING (key) WHERE a.kind = 'decay' AND b.kind = 'persistence'),
+late AS (SELECT key, (lead_h - 1) // 12 AS bucket, 1 - sum((decay - obs) ** 2) / (var_pop(obs) * count(*)) AS a, 1 - sum((persistence - obs) ** 2) / (var_pop(obs) * count(*)) AS b FROM rows WHERE lead_h > 24 GROUP BY ALL HAVING var_pop(obs) * count(*) > 1e-10),
+l AS (SELECT key, avg(a) - avg(b) AS late FROM late GROUP BY key)
+SELECT count(*) AS n_pairs, round(avg(d), 6) AS mean_delta, round(avg(late), 6) AS mean_late, CASE WHEN count(*) >= 3 THEN avg(d) >= 0.02 AND bool_and(d > 0) AND avg(late) >= 0 END AS adopt FROM d LEFT JOIN l USING (key)"""
+)
 def adopt_rule(spark, sf_dir):
-    scores = _all_scores(spark, sf_dir)
-    a, b = (scores.where(F.col("kind") == k).select("key", F.col("nse").alias(k)) for k in ("decay", "persistence"))
-    d = a.join(b, "key").select((F.col("decay") - F.col("persistence")).alias("d"))
-    return rounded(d.agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean_delta"), F.when(F.count("*") >= 3, (F.avg("d") >= 0.02) & F.bool_and(F.col("d") > 0)).alias("adopt")))
+    """Is decay adopted over persistence, by all scores and by those of hours 25 to 48?"""
+    rows = _rows(spark, sf_dir, "persistence", "decay")
+    late = rows.where("lead_h > 24")
+    whole, tail = None, None
+    for k in ("decay", "persistence"):
+        one = metrics.score(rows, k).select("key", F.col("nse").alias(k))
+        two = metrics.score_buckets(late, k).groupBy("key").agg(F.avg("nse").alias(k))
+        whole = one if whole is None else whole.join(one, "key")
+        tail = two if tail is None else tail.join(two, "key")
+    d = whole.select("key", (F.col("decay") - F.col("persistence")).alias("d"))
+    pairs = d.join(tail.select("key", (F.col("decay") - F.col("persistence")).alias("late")), "key", "left")
+    return rounded(reports.adopt(pairs))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (value < 0) AS negative, count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value IS NULL) AS missing, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(max(value), 6) AS largest FROM events")
@@ -256,12 +270,12 @@ def config_key(spark, sf_dir):
 @query(PANEL + """x AS (SELECT 1) SELECT key, round(avg((decay - obs) ** 2), 6) AS mse, round(avg(abs(decay - obs)), 6) AS mae,
   round(avg(CASE WHEN abs(decay - obs) <= 0.5 THEN (decay - obs) ** 2 / 2 ELSE 0.5 * (abs(decay - obs) - 0.25) END), 6) AS huber FROM rows GROUP BY key""")
 def loss_means(spark, sf_dir):
-    return rounded(compare.losses(_rows(spark, sf_dir), "decay"))
+    return rounded(compare.losses(_rows(spark, sf_dir, "decay"), "decay"))
 
 
 @query(PANEL + "x AS (SELECT 1) SELECT key, round(1 - sum((decay - obs) ** 2) / (sum(obs * obs) - sum(obs) ** 2 / count(*)), 6) AS nse FROM rows GROUP BY key")
 def quick_nse(spark, sf_dir):
-    return rounded(compare.quick_nse(_rows(spark, sf_dir), "decay"))
+    return rounded(compare.quick_nse(_rows(spark, sf_dir, "decay"), "decay"))
 
 
 @query(
@@ -271,7 +285,7 @@ f AS (SELECT r.key, r.obs, r.decay, coalesce(leaked, true) AS seen FROM rows r L
 SELECT seen, key, round(1 - sum((decay - obs) ** 2) / (var_pop(obs) * count(*)), 6) AS nse FROM f GROUP BY seen, key"""
 )
 def subset_nse(spark, sf_dir):
-    return rounded(compare.subset_nse(_rows(spark, sf_dir), leak_flags(spark, sf_dir), "decay"))
+    return rounded(compare.subset_nse(_rows(spark, sf_dir, "decay"), leak_flags(spark, sf_dir), "decay"))
 
 
 @query(
@@ -283,7 +297,7 @@ SELECT key, n, round(w, 6) AS w_plus, round((w - n * (n + 1) / 4.0) / sqrt(n * (
 def signed_rank(spark, sf_dir):
     """Are the windows' errors of persistence larger than those of decay?"""
     error = lambda k: F.avg(F.abs(F.col(k) - F.col("obs")))
-    d = _rows(spark, sf_dir).groupBy("key", "origin").agg(F.round(error("persistence") - error("decay"), 9).alias("d"))
+    d = _rows(spark, sf_dir, "persistence", "decay").groupBy("key", "origin").agg(F.round(error("persistence") - error("decay"), 9).alias("d"))
     return rounded(compare.signed_rank(d))
 
 

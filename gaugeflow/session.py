@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of this process where it is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own; on a cluster
+    executors would not share that, so there RuntimeError is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
