@@ -5,7 +5,8 @@ as Parquet and read again in between. All but the last return the columns of ``d
 
 Verdicts hold for rows, not for ids: each stage numbers its input's rows in a written table and joins on the
 number. Rows with equal ids, and rows without one, are documents of their own. Where an earlier document has
-precedence, rows are ordered by doc_id, null last, then by content.
+precedence, rows are ordered by doc_id, null last, then by content. Repeated rows are judged one by one; columns other
+than those of ``documents`` go; empty tables give empty ones. What an operator writes is deleted once its verdicts are.
 """
 
 from __future__ import annotations
@@ -21,39 +22,50 @@ from gaugeflow.llm.packing import pack, token_pieces
 from gaugeflow.llm.quality import quality_rules
 from gaugeflow.llm.substrings import remove_repeats
 from gaugeflow.llm.tokens import public_vocabulary
-from gaugeflow.session import Scratch
+from gaugeflow.session import Scratch, temporary_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, name: str, in_order: bool = False) -> DataFrame:
+def _numbered(scratch: Scratch, docs: DataFrame, in_order: bool = False) -> DataFrame:
     """``COLUMNS`` and ``_row``, a number of its own for each row; with ``in_order`` it follows doc_id, null last, and content."""
     rows = docs.select(*COLUMNS)
     if in_order:
         rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "lang", "source", "n_chars")
-    return Scratch(spark, name).table(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return scratch.table(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    rows = _numbered(spark, docs, "quality-rows")
-    rejected = quality_rules(rows, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"))
+    """Documents that the quality rules reject go. Null texts fail the rules; null languages and sources are groups."""
+    scratch = Scratch(spark, "quality-stage")
+    rows = _numbered(scratch, docs)
+    with temporary_tables():
+        verdicts = quality_rules(rows, id_col="_row").where("not kept")
+        rejected = scratch.table(verdicts.select(F.col("doc_id").alias("_row")), "rejected")
     return rows.join(rejected, "_row", "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, that with the smallest doc_id; a null doc_id comes last."""
-    rows = _numbered(spark, docs, "near-rows")
-    groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    """One row of each group of near copies stays, that with the smallest doc_id; a null doc_id comes last. Texts
+    without words are in no group and stay."""
+    scratch = Scratch(spark, "near-stage")
+    rows = _numbered(scratch, docs)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", rank).alias("_row"))
+    with temporary_tables():
+        groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+        ranked = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id")
+        first = scratch.table(ranked.agg(F.min_by("_row", rank).alias("_row")).select("_row"), "first")
     return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word sequences that an earlier row has are cut; no row goes, and texts without any keep their spacing."""
-    rows = _numbered(spark, docs, "repeat-rows", in_order=True)
-    cut = remove_repeats(rows, id_col="_row").where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("text").alias("cut"))
+    """Word sequences that an earlier row has are cut; no row goes, and texts without any keep their spacing. Null
+    texts stay null."""
+    scratch = Scratch(spark, "repeat-stage")
+    rows = _numbered(scratch, docs, in_order=True)
+    with temporary_tables():
+        removed = remove_repeats(rows, id_col="_row").where("n_removed > 0")
+        cut = scratch.table(removed.select(F.col("doc_id").alias("_row"), F.col("text").alias("cut")), "cut")
     joined = rows.join(cut, "_row", "left")
     text = F.coalesce("cut", "text")
     n_chars = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut").cast("long"))
@@ -61,9 +73,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    rows = _numbered(spark, docs, "leak-rows")
-    leaked = leaked_items(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    """Documents that hold a benchmark item go; null texts hold none."""
+    scratch = Scratch(spark, "leak-stage")
+    rows = _numbered(scratch, docs)
+    with temporary_tables():
+        found = leaked_items(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+        leaked = scratch.table(found.select(F.col("doc_id").alias("_row")).distinct(), "leaked")
     return rows.join(leaked, "_row", "left_anti").select(*COLUMNS)
 
 

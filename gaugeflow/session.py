@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_COLLECTED: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Deletes the tables of every ``Scratch`` made within at the end; what is to stay has to be written to one made before."""
+    made: list[Scratch] = []
+    _COLLECTED.append(made)
+    try:
+        yield
+    finally:
+        _COLLECTED.remove(made)
+        for scratch in made:
+            scratch.drop("")
+
+
 class Scratch:
     """Written tables of one job under the shared folder.
 
@@ -30,9 +48,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        for made in _COLLECTED:
+            made.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}".rstrip("/")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(name))
