@@ -42,7 +42,7 @@ def _anchors(b: Block, window: int, gram: int) -> np.ndarray:
         step = min(have, span - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    return low.view(np.int64)
+    return (low & np.uint64((1 << 40) - 1)).view(np.int64)  # 40 bits: equal ones by chance only raise an estimate
 
 
 def _counters(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def _repeated_counters(width: int):
 
 
 def _looked_up(width: int, depth: int):
-    """A row for each document and anchor, with the anchor's counter in each row of the sketch."""
+    """A row for each document and anchor: the anchor's counter in each row of the sketch."""
 
     def run(batches):
         import pyarrow as pa
@@ -105,24 +105,29 @@ def _looked_up(width: int, depth: int):
             anchors = lists.flatten().to_numpy(zero_copy_only=False)
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
             counters = [pa.array(_counters(anchors, row, width)) for row in range(depth)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(anchors), *counters], names=["doc_id", "anchor", *(f"c{r}" for r in range(depth))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *counters], names=["doc_id", *(f"c{r}" for r in range(depth))])
 
     return run
 
 
-def estimated_repeats(documents: DataFrame, scratch: Scratch, depth: int = 2, load: float = 0.25) -> DataFrame:
-    """``doc_id, anchor`` of the anchors that the count-min sketch of ``documents`` (``doc_id, anchors``) puts at two
-    documents or more. ``load`` is the number of anchors for each counter of a row."""
+def sketch_width(documents: DataFrame, load: float = 0.25) -> int:
+    """The counters of a row for ``documents`` (``doc_id, anchors``), in whole blocks; ``load`` anchors share one on average."""
     total = documents.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
-    width = max(COUNTERS, -(-int(total / load) // COUNTERS) * COUNTERS)
+    return max(COUNTERS, -(-int(total / load) // COUNTERS) * COUNTERS)
+
+
+def estimated_repeats(documents: DataFrame, scratch: Scratch, width: int, depth: int = 2) -> DataFrame:
+    """``doc_id, counter``, the first row's counters of those anchors of a document that the count-min sketch of all
+    ``documents`` puts at two documents or more."""
     parts = documents.select("anchors").mapInArrow(_partial_sketch(width, depth), "block long, places binary, n binary")
     merged = parts.groupBy("block").applyInPandas(_repeated_counters(width), "row int, counter long")
     sketch = scratch.table(merged, "sketch")
-    kinds = "doc_id long, anchor long, " + ", ".join(f"c{r} long" for r in range(depth))
+    kinds = "doc_id long, " + ", ".join(f"c{r} long" for r in range(depth))
     found = documents.select("doc_id", "anchors").mapInArrow(_looked_up(width, depth), kinds)
-    for r in range(depth):
+    for r in reversed(range(depth)):
         found = found.join(sketch.where(F.col("row") == r).select(F.col("counter").alias(f"c{r}")), f"c{r}", "left_semi")
-    return found.select("doc_id", "anchor")
+        found = found.drop(*[f"c{r}"] * (r > 0))
+    return found.select("doc_id", F.col("c0").alias("counter"))
 
 
 def _key(words: list[bytes]) -> bytes:
@@ -150,7 +155,7 @@ def _counter(window: int, gram: int):
     return run
 
 
-def _window_hashes(window: int, gram: int):
+def _window_hashes(window: int, gram: int, width: int):
     def run(batches):
         import pyarrow as pa
 
@@ -164,7 +169,7 @@ def _window_hashes(window: int, gram: int):
                     lo, hi = int(b.first[j]), int(b.first[j + 1])
                     if hi - lo >= window:
                         own = hot[b.lo + j].values.to_numpy(zero_copy_only=False)
-                        at = np.flatnonzero(np.isin(anchor[lo : hi - window + 1], own))
+                        at = np.flatnonzero(np.isin(_counters(anchor[lo : hi - window + 1], 0, width), own))
                         if len(at):
                             rows.append((ids[b.lo + j], _key(texts[b.lo + j].split()), at, h1[lo + at], h2[lo + at]))
                 if rows:
@@ -231,8 +236,9 @@ def remove_repeats(
     copied = scratch.table(copied, "copied")
 
     single = known.join(copied, ["doc_id", "key"], "left_anti").select("doc_id", "anchors")
-    hot = estimated_repeats(single, scratch, depth, load).groupBy("doc_id").agg(F.collect_set("anchor").alias("hot"))
-    windows = texts.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_window_hashes(window, gram), "doc_id long, key binary, start int, h1 long, h2 long")
+    width = sketch_width(single, load)
+    hot = estimated_repeats(single, scratch, width, depth).groupBy("doc_id").agg(F.collect_set("counter").alias("hot"))
+    windows = texts.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_window_hashes(window, gram, width), "doc_id long, key binary, start int, h1 long, h2 long")
     windows = scratch.table(windows, "windows")
     grouped = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("n"))
     repeated = scratch.table(grouped.where("earliest < latest"), "repeated")

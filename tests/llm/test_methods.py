@@ -46,7 +46,9 @@ def test_sketch_is_never_below_the_count(spark, load):
     sets = {i: np.unique(rng.integers(0, 40_000, 400)) * 977_451 for i in range(300)}
     counts = collections.Counter(int(a) for s in sets.values() for a in s)
     df = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "doc_id long, anchors array<long>").repartition(7)
-    got = {(r["doc_id"], r["anchor"]) for r in substrings.estimated_repeats(df, Scratch(spark, "t"), load=load).collect()}
+    width = substrings.sketch_width(df, load)
+    found = {(r["doc_id"], r["counter"]) for r in substrings.estimated_repeats(df, Scratch(spark, "t"), width).collect()}
+    got = {(i, int(a)) for i, s in sets.items() for a, c in zip(s, substrings._counters(s, 0, width)) if (i, int(c)) in found}
     repeated = {(i, int(a)) for i, s in sets.items() for a in s if counts[int(a)] > 1}
     assert repeated <= got
     once = sum(len(s) for s in sets.values()) - len(repeated)
