@@ -19,6 +19,7 @@ replaced, any other names are free; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -144,8 +145,9 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 7, block_row
     for (part, _), line in zip(counts, matrix, strict=True):
         ends = _ends(line)
         by_shard = [ends[i * blocks : (i + 1) * blocks] for i in range(shards)]
-        lines.append((part, [e[-1] for e in by_shard], by_shard))
-    matrix = spark.createDataFrame(lines, "part int, shard_ends array<long>, block_ends array<array<long>>")
+        lines.append({"part": part, "shard_ends": [e[-1] for e in by_shard], "block_ends": by_shard})
+    kind = "array<struct<part:int,shard_ends:array<bigint>,block_ends:array<array<bigint>>>>"
+    matrix = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), kind)))
     largest = max(n for _, n in counts)
     sent = _ranked(rows, ["part"], seed, -(-largest // block_rows), "rank").join(F.broadcast(matrix), "part")
     sent = sent.withColumn("shard", F.size(F.filter("shard_ends", lambda e: e < F.col("rank"))))
