@@ -5,6 +5,8 @@ A null or empty array gives null.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,30 @@ def route_by_entropy(entropies: Column, n_high: int) -> Column:
     """The indices, in order, of the ``n_high`` components of largest entropy; of equals the first."""
     order = F.sort_array(F.transform(entropies, lambda e, i: F.struct((-e).alias("e"), i.alias("i"))))
     return F.sort_array(F.transform(F.slice(order, 1, n_high), lambda s: s["i"]))
+
+
+def threshold_disagrees(entropies: Column, original: Column, n_high: int) -> Column:
+    """Would sending every component to the fast branch whose entropy reaches the original's give another number than ``n_high``?
+
+    Branches are fixed, so the threshold rule falls back to ``route_by_entropy`` then; where the numbers agree, both name the
+    same components. Null entropies do not reach it.
+    """
+    return F.size(F.filter(entropies, lambda e: e >= original)) != n_high
+
+
+def branch_inputs(channels: Column, bands: Column, picks: Column, target: int = 0, replace: bool = True) -> Column:
+    """For each of ``picks`` (indices of ``bands``) one branch's input: all ``channels`` with the band in place of the
+    channel ``target``, or with ``replace=False`` the band alone. A pick that names no band gives a null channel."""
+
+    def branch(p: Column) -> Column:
+        band = F.get(bands, p)
+        return F.transform(channels, lambda c, i: F.when(i == target, band).otherwise(c)) if replace else F.array(band)
+
+    return F.transform(picks, branch)
+
+
+def warmup_cosine(step: Column, total: int, warmup: float = 0.05, least: float = 0.01) -> Column:
+    """The factor of the learning rate: evenly up from 0 in the first part ``warmup`` of the steps, then half a cosine down to ``least``."""
+    ramp = max(1, int(total * warmup))
+    done = (step - ramp) / max(1, total - ramp)
+    return F.when(step < ramp, step / ramp).otherwise(least + (1 - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * done)))

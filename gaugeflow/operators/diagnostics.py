@@ -103,3 +103,24 @@ def curve_diagnostics(values: Column) -> list[Column]:
         F.when(n > 1, weighted / (n * (n * n - 1) / 12)).alias("slope"),
         F.when(F.size(steps) > 1, F.sqrt(spread / (F.size(steps) - 1))).alias("jitter"),
     ]
+
+
+def bootstrap_medians(values: DataFrame, key: str, a: str, b: str, resamples: int = 4000, seed: int = 42) -> DataFrame:
+    """One row ``n, low, middle, high, share``: the difference of the medians of ``a`` and ``b`` over resamples of the keys with
+    replacement: its 2.5 %, 50 % and 97.5 % quantiles, and how often it is positive.
+
+    ``values`` has one row a key; rows with a null in ``a`` or ``b`` do not count, and without rows ``n`` is 0 and the
+    rest null. Draw i of a resample takes the key at place md5(seed:resample:i) modulo the number of keys.
+    """
+    known = values.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    place = F.row_number().over(Window.orderBy(key)) - 1  # one row a key
+    placed = known.select(F.col(a).alias("a"), F.col(b).alias("b"), place.cast("long").alias("place"))
+    n = placed.count()
+    ids = values.sparkSession.range(resamples * n)
+    draw = F.concat_ws(":", F.lit(seed), F.expr(f"id div {max(n, 1)}"), F.expr(f"id % {max(n, 1)}"))
+    pick = F.conv(F.substring(F.md5(draw.cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    drawn = ids.select(F.expr(f"id div {max(n, 1)}").alias("resample"), pick.alias("place")).join(placed, "place")
+    each = drawn.groupBy("resample").agg(F.round(F.median("a") - F.median("b"), 9).alias("d"))
+    quantile = lambda q: F.percentile("d", F.lit(q))
+    share = F.avg((F.col("d") > 0).cast("int"))
+    return each.agg(F.count("*").alias("n"), quantile(0.025).alias("low"), quantile(0.5).alias("middle"), quantile(0.975).alias("high"), share.alias("share"))
