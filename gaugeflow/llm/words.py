@@ -1,7 +1,7 @@
 """Words of many texts at once, hashed with numpy inside a task.
 
 A word is a run of bytes other than space and 0x09-0x0D. Texts are handled in blocks of about a
-megabyte, so memory follows the block (or one longer text), never the partition. A word's hash is a
+quarter of a megabyte, so memory follows the block (or one longer text), never the partition. A word's hash is a
 polynomial in its bytes over a fixed table of random 64-bit values, modulo 2**64, then mixed.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,7 +25,7 @@ def _odd(seed: int) -> tuple[np.uint64, np.uint64]:
 
 
 class _Powers:
-    """p**i and p**-i modulo 2**64, grown as needed."""
+    """p**i and p**-i modulo 2**64, grown by an eighth or to what is asked for, so that seeds of short runs stay small."""
 
     def __init__(self, seed: int):
         self.base = _odd(seed)
@@ -33,7 +33,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, BLOCK + BLOCK // 4)
+            n = max(n, len(self.up) * 9 // 8, 1024)
             self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n - 1, p)])) for p in self.base)
         return self.up[:n], self.down[:n]
 
