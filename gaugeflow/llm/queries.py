@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.codes import codebooks_sha256, compress
 from gaugeflow.llm.decontaminate import leaked_items
 from gaugeflow.llm.divergence import source_divergence
 from gaugeflow.llm.lm import score_documents
@@ -15,6 +16,7 @@ from gaugeflow.llm.sharding import shuffle_into_shards
 from gaugeflow.llm.substrings import remove_repeats
 from gaugeflow.llm.tokens import encoded_lengths, length_histogram, public_vocabulary
 from gaugeflow.llm.urls import filter_captures, host_of
+from gaugeflow.llm.vectors import similar_vectors
 from gaugeflow.llm.warc import field, read_archive, record_ids, write_archive
 from gaugeflow.session import Scratch
 
@@ -144,5 +146,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op9_lm_scores, op10_url_filters, op11_source_divergence)}
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = compress(_read(spark, sf_dir, "embeddings"))
+    errors = codes.groupBy(F.col("label").alias("of")).agg(F.expr("try_cast(sum(cast(error AS decimal(38, 0))) AS bigint)").alias("label_error"))
+    joined = codes.join(errors, F.col("label").eqNullSafe(F.col("of")))  # Spark sends the sums to all tasks if they are small
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(codebooks)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op9_lm_scores, op10_url_filters, op11_source_divergence, op12_embedding_near_dedup, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = {"op6_warc_archive": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_source_divergence": OP11_SQL}
