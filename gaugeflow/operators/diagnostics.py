@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.metrics import EPS
+from gaugeflow.operators.selection import quantiles
 
 
 def pooled_skill(pred: str, bar: str = "persistence") -> list[Column]:
@@ -26,7 +27,7 @@ def by_regime(rows: DataFrame, scale: DataFrame, pred: str, steady: float = 0.25
 
 def by_tercile(rows: DataFrame, pred: str) -> DataFrame:
     """``tercile, n, skill, bias``: rows up to each key's first and from its second tercile of observations on."""
-    cuts = rows.groupBy("key").agg(F.expr("percentile(obs, 1.0 / 3)").alias("lo"), F.expr("percentile(obs, 2.0 / 3)").alias("hi"))
+    cuts = quantiles(rows, ["key"], "obs", {"lo": 1 / 3, "hi": 2 / 3}).drop("n_rows")
     part = F.when(F.col("obs") <= F.col("lo"), "low").when(F.col("obs") >= F.col("hi"), "high").otherwise("middle")
     return rows.join(cuts, "key").withColumn("tercile", part).groupBy("tercile").agg(*pooled_skill(pred))
 

@@ -5,9 +5,11 @@ A group whose observations do not vary has NSE 0 in ``score`` and no row in ``sc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.selection import order_statistics, top_sum
+
 EPS = 1e-10
 
 
@@ -55,18 +57,27 @@ def summarise(scores: DataFrame) -> DataFrame:
     )
 
 
-def high_flow(rows: DataFrame, pred: str) -> DataFrame:
-    """``key, highflow_beta, fhv``: bias of the top tercile, and of the top 2 % of both, sorted independently."""
-    own = Window.partitionBy("key")
-    cut = rows.groupBy("key").agg(F.expr("percentile(obs, 2.0 / 3)").alias("cut"))
-    by_obs = F.row_number().over(own.orderBy(F.desc("obs")))
-    by_pred = F.row_number().over(own.orderBy(F.desc(pred)))
-    top = rows.join(cut, "key").select("key", "obs", F.col(pred).alias("p"), "cut", by_obs.alias("ko"), by_pred.alias("kp"), F.greatest(F.lit(1), F.bround(0.02 * F.count("*").over(own))).alias("k"))
-    high = F.col("obs") >= F.col("cut")
-    part = lambda c, rank: F.sum(F.when(F.col(rank) <= F.col("k"), F.col(c)))
-    sums = top.groupBy("key").agg(F.sum(F.when(high, F.col("p"))).alias("hp"), F.sum(F.when(high, F.col("obs"))).alias("ho"), part("obs", "ko").alias("to"), part("p", "kp").alias("tp"))
+def high_flow(rows: DataFrame, pred: str, *keys: str) -> DataFrame:
+    """``keys`` (``key`` without any), ``highflow_beta, fhv``: bias of the top tercile, and of the top 2 % of both, each by its own order.
+
+    The tercile begins at the linearly interpolated quantile, so at one of the two values around it.
+    """
+    keys = list(keys) or ["key"]
+    pairs = rows.select(*keys, F.col("obs").alias("o"), F.col(pred).alias("p"))
+    at = (F.col("n_rows") - 1) * F.lit(2 / 3)
+    first = F.col("n_rows") - F.greatest(F.lit(1), F.bround(0.02 * F.col("n_rows"))).cast("long") + 1
+    of_obs = order_statistics(pairs.withColumn("v", F.col("o")), keys, "v", {"lo": F.floor(at) + 1, "hi": F.ceil(at) + 1, "top": first}, ["o", "p"])
+    of_pred = order_statistics(pairs.withColumn("v", F.col("p")), keys, "v", {"top": first}, ["p"])
+    one = lambda name, c: F.max(F.when(F.col("name") == name, c))
+    from_ = lambda s: F.col(f"above_{s}") + F.col(f"equal_{s}")
+    ends = [one(n, F.col("value")).alias(f"v_{n}") for n in ("lo", "hi")]
+    sums = [one(n, from_(s)).alias(f"{s}_{n}") for n in ("lo", "hi") for s in ("o", "p")]
+    wide = of_obs.groupBy(*keys, "n_rows").agg(*ends, *sums, one("top", top_sum("o")).alias("to"))
+    cut = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (at - F.floor(at))
+    high = lambda s: F.when(cut <= F.col("v_lo"), F.col(f"{s}_lo")).otherwise(F.col(f"{s}_hi"))
+    both = wide.select(*keys, high("o").alias("ho"), high("p").alias("hp"), "to").join(of_pred.select(*keys, top_sum("p").alias("tp")), keys, "left")
     guarded = lambda a, b: F.when(F.abs(b) > EPS, F.try_divide(a, F.col(b)))
-    return sums.select("key", guarded(F.col("hp"), "ho").alias("highflow_beta"), (100 * guarded(F.col("tp") - F.col("to"), "to")).alias("fhv"))
+    return both.select(*keys, guarded(F.col("hp"), "ho").alias("highflow_beta"), (100 * guarded(F.col("tp") - F.col("to"), "to")).alias("fhv"))
 
 
 def skill_by_lead(rows: DataFrame, pred: str, bar: str = "persistence") -> DataFrame:

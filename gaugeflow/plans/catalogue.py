@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
 from gaugeflow.functions.series import peak_of_means, route_by_entropy, spark_levels
-from gaugeflow.operators import compare, decompose, metrics, reports, ridge, splits
+from gaugeflow.operators import compare, decompose, metrics, reports, ridge, selection, splits
 from gaugeflow.operators.graph import connected_components
-from gaugeflow.sources.panel import cut_windows, hourly_panel, long_targets
+from gaugeflow.sources.panel import hourly_panel, hourly_series, long_targets, series_windows
 from gaugeflow.streaming.statistics import running_statistics
 
 QUERIES: dict = {}
@@ -60,7 +60,7 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_windows(_panel(spark, sf_dir))
+    return series_windows(hourly_series(_table(spark, sf_dir, "events")))
 
 
 def _rows(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
@@ -133,7 +133,7 @@ def score_buckets(spark, sf_dir):
 
 @query(PANEL + "b AS (SELECT key, (lead_h - 1) // 12 AS bucket, sum((decay - obs) ** 2) AS res, var_pop(obs) * count(*) AS oo FROM rows GROUP BY ALL) SELECT bucket, round(median(1 - res / oo), 6) AS median_nse FROM b WHERE oo > 1e-10 GROUP BY bucket")
 def bucket_medians(spark, sf_dir):
-    return rounded(metrics.score_buckets(_rows(spark, sf_dir, "decay"), "decay").groupBy("bucket").agg(F.median("nse").alias("median_nse")))
+    return rounded(selection.quantiles(metrics.score_buckets(_rows(spark, sf_dir, "decay"), "decay"), ["bucket"], "nse", {"median_nse": 0.5}).drop("n_rows"))
 
 
 @query(
@@ -156,6 +156,34 @@ def high_flow(spark, sf_dir):
     return rounded(metrics.high_flow(_rows(spark, sf_dir, "decay"), "decay"))
 
 
+@query(
+    PANEL + """c AS (SELECT key, quantile_cont(obs, 2.0 / 3) AS cut, greatest(1, round_even(0.02 * count(*), 0)) AS k FROM rows GROUP BY key),
+r AS (SELECT key, obs, persistence AS p, row_number() OVER (PARTITION BY key ORDER BY obs DESC) AS ko, row_number() OVER (PARTITION BY key ORDER BY persistence DESC) AS kp FROM rows),
+f AS (SELECT key, sum(p) FILTER (obs >= cut) / sum(obs) FILTER (obs >= cut) AS highflow_beta, 100 * (sum(p) FILTER (kp <= k) - sum(obs) FILTER (ko <= k)) / sum(obs) FILTER (ko <= k) AS fhv FROM r JOIN c USING (key) GROUP BY key),
+l AS (SELECT 'highflow_beta' AS "column", highflow_beta AS v FROM f UNION ALL SELECT 'fhv', fhv FROM f)
+SELECT "column", count(*) AS n_rows, round(median(v), 6) AS median FROM l WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY "column\""""
+)
+def high_flow_medians(spark, sf_dir):
+    """Medians over the groups, skipping those without a high flow."""
+    found = metrics.high_flow(_rows(spark, sf_dir, "persistence"), "persistence")
+    return rounded(selection.medians(found, [], ["highflow_beta", "fhv"]))
+
+
+@query("SELECT event_type AS key, count(value) AS n_rows, round(quantile_cont(value, 0.1), 6) AS q10, round(median(value), 6) AS q50, round(quantile_cont(value, 0.99), 6) AS q99 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def value_quantiles(spark, sf_dir):
+    """Exact quantiles of few keys with very many rows."""
+    return rounded(selection.quantiles(_table(spark, sf_dir, "events"), ["event_type"], "value", {"q10": 0.1, "q50": 0.5, "q99": 0.99}).withColumnRenamed("event_type", "key"))
+
+
+@query("WITH r AS (SELECT l_suppkey AS key, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem), t AS (SELECT key, count(*) AS n_top, sum(v) AS top FROM r WHERE k <= ceil(0.05 * n) GROUP BY key) SELECT t.key, n_top, round(top / sum(l_extendedprice), 6) AS share FROM t JOIN lineitem ON l_suppkey = t.key GROUP BY t.key, n_top, top")
+def top_share(spark, sf_dir):
+    """What part of a supplier's sales the greatest twentieth of its lines make up."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_extendedprice").alias("v"))
+    top = selection.top_sums(lines, ["key"], "v", F.ceil(0.05 * F.col("n_rows")))
+    total = lines.groupBy("key").agg(F.sum("v").alias("total"))
+    return rounded(top.join(total, "key").select("key", "n_top", F.try_divide("top_sum", "total").alias("share")))
+
+
 @query(PANEL + "s AS (SELECT lead_h, sum((decay - obs) ** 2) AS m, sum((persistence - obs) ** 2) AS b FROM rows GROUP BY lead_h) SELECT lead_h, round(1 - m / b, 6) AS skill FROM s")
 def skill_by_lead(spark, sf_dir):
     return rounded(metrics.skill_by_lead(_rows(spark, sf_dir, "persistence", "decay"), "decay"))
@@ -245,8 +273,11 @@ def adopt_rule(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) FILTER (value < 0) AS negative, count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value IS NULL) AS missing, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(max(value), 6) AS largest FROM events")
 def quality_checks(spark, sf_dir):
-    v = F.col("value")
-    return rounded(_table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zeros"), F.count_if(v.isNull()).alias("missing"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("largest")))
+    v, events = F.col("value"), _table(spark, sf_dir, "events")
+    counts = [F.count("*").alias("n"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zeros"), F.count_if(v.isNull()).alias("missing")]
+    moments = events.agg(*counts, F.avg(v).alias("mean"), F.max(v).alias("largest"))
+    median = selection.quantiles(events, [], "value", {"median": 0.5}).select("median")
+    return rounded(moments.join(median, how="left"))  # one row each
 
 
 @query("""WITH d AS (SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) AS q FROM lineitem GROUP BY ALL),

@@ -8,20 +8,54 @@ from pyspark.sql import functions as F
 HISTORY, AHEAD = 336, 48
 
 
-def hourly_panel(events: DataFrame, key: str = "event_type", start: str = "2024-01-01", hours: int = 720) -> DataFrame:
-    """``key, h, q, n``: the sum and count of ``value`` in each hour from ``start``; hours without events are 0."""
+def hour_range(events: DataFrame, ts: str = "ts") -> tuple[str, int]:
+    """The first day's midnight and the number of hours up to the end of the last day that events are from."""
+    first, last = events.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
+    return (str(first), 24 * ((last - first).days + 1)) if first is not None else ("1970-01-01", 0)
+
+
+def _hourly(events: DataFrame, key: str, start: str | None, hours: int | None, *aggregates: Column) -> tuple[DataFrame, int]:
+    """``key, h`` and the aggregates of each hour that has events, and the number of hours."""
+    events = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    if start is None or hours is None:
+        start, hours = hour_range(events)
     hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / 3600)
-    seen = events.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key"), hour.alias("h")).agg(F.sum("value").alias("q"), F.count("*").alias("n"))
-    grid = seen.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))).alias("h"))
+    seen = events.select(F.col(key).cast("string").alias("key"), hour.alias("h"), "value").where(F.col("h").between(0, hours - 1))
+    return seen.groupBy("key", "h").agg(*aggregates), hours
+
+
+def hourly_panel(events: DataFrame, key: str = "event_type", start: str | None = None, hours: int | None = None) -> DataFrame:
+    """``key, h, q, n``: the sum and count of ``value`` in each hour from ``start``; hours without events are 0.
+
+    Without ``start`` and ``hours`` all days that have events are covered; with them, events outside are left out.
+    """
+    seen, hours = _hourly(events, key, start, hours, F.sum("value").alias("q"), F.count("*").alias("n"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long")) if hours else F.array().cast("array<bigint>")
+    grid = seen.select("key").distinct().select("key", F.explode(every).alias("h"))
     return grid.join(seen, ["key", "h"], "left").select("key", "h", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def hourly_series(events: DataFrame, key: str = "event_type", start: str | None = None, hours: int | None = None) -> DataFrame:
+    """``key, s``: the values ``q`` of the panel as one array a key, without a grid: gaps between hours become zeros."""
+    seen, hours = _hourly(events, key, start, hours, F.sum("value").alias("q"))
+    points = seen.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("h", "q"))).alias("p"))  # at most ``hours`` of them
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    later = F.concat(F.transform(F.slice("p", 2, F.size("p")), lambda x: x["h"]), F.array(F.lit(hours).cast("long")))
+    filled = F.zip_with("p", later, lambda x, after: F.concat(F.array(F.coalesce(x["q"], F.lit(0.0))), zeros(after - x["h"] - 1)))
+    return points.select("key", F.concat(zeros(F.col("p")[0]["h"]), F.flatten(filled)).alias("s"))
+
+
 def cut_windows(panel: DataFrame, history: int = HISTORY, ahead: int = AHEAD, stride: int = 24) -> DataFrame:
     """``key, origin, x, y``: the history up to and including hour ``origin``, and the hours after it.
 
     A key's series is gathered once (its length is the panel's) and sliced, so no band join is needed.
     """
     series = panel.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "q"))), lambda s: s["q"]).alias("s"))
+    return series_windows(series, history, ahead, stride)
+
+
+def series_windows(series: DataFrame, history: int = HISTORY, ahead: int = AHEAD, stride: int = 24) -> DataFrame:
+    """The windows of ``cut_windows`` from ``hourly_series``."""
     last = F.size("s") - ahead - 1
     origins = series.where(last >= history - 1).select("key", "s", F.explode(F.sequence(F.lit(history - 1), last, F.lit(stride))).alias("origin"))
     return origins.select("key", F.col("origin").cast("long"), F.slice("s", F.col("origin") - history + 2, history).alias("x"), F.slice("s", F.col("origin") + 2, ahead).alias("y"))
