@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.graph import connected_components
+from gaugeflow.operators.ranks import dense_labels, running
+from gaugeflow.session import Scratch
+
 
 def _by_hash(rows: DataFrame, seed: int, name: str, *keys: str) -> DataFrame:
     """``rows`` with ``rank`` (from 1) by md5(seed:name), then name, within ``keys``, and the number ``n`` of their rows.
@@ -41,18 +45,17 @@ def assign_components(rows: DataFrame, fraction: float, seed: int = 42) -> DataF
     (equal ones by hash), until ``fraction`` of the key's rows is reached; none may lift the total over twice the
     fraction, or over one half. A key whose smallest component is too large for that holds out the smallest.
 
-    Sizes ascend, so once one is too large all later ones are, and a running sum decides.
+    Sizes ascend, so once one is too large all later ones are, and a running sum decides; it runs over ranges of the sizes, so
+    no task has to hold a key's components.
     """
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
-    own = Window.partitionBy("key")
+    scratch = Scratch(rows.sparkSession, "assign-components")
     jitter = F.md5(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")))
-    order = own.orderBy("size", jitter, "component")
-    total = F.sum("size").over(own)
-    reached = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    target, cap = F.bround(total * fraction), F.floor(total * min(0.5, 2 * fraction))
-    placed = sizes.select("*", reached.alias("reached"), target.alias("target"), cap.alias("cap"), F.row_number().over(own.orderBy("size", "component")).alias("k"), F.min("size").over(own).alias("least"))
-    fits = (F.col("reached") <= F.col("cap")) & (F.col("reached") - F.col("size") < F.col("target"))
-    alone = (F.col("least") > F.col("cap")) & (F.col("k") == 1) & (F.col("target") > 0)
+    sizes = scratch.table(rows.groupBy("key", "component").agg(F.count("*").alias("size")).withColumn("jitter", jitter), "sizes")
+    whole = sizes.groupBy(F.col("key").alias("of")).agg(F.sum("size").alias("total"), F.min(F.struct("size", "component")).alias("least"))
+    placed = running(sizes, ["key"], ["size", "jitter", "component"], ["size"]).join(whole, F.col("key").eqNullSafe(F.col("of")))
+    target, cap = F.bround(F.col("total") * fraction), F.floor(F.col("total") * min(0.5, 2 * fraction))
+    fits = (F.col("upto_size") <= cap) & (F.col("upto_size") - F.col("size") < target)
+    alone = (F.col("least.size") > cap) & F.col("least.component").eqNullSafe(F.col("component")) & (target > 0)
     return placed.select("key", "component", "size", (fits | alone).alias("held_out"))
 
 
@@ -98,3 +101,56 @@ def leaked_windows(grams_in: DataFrame, grams_out: DataFrame, threshold: int = 3
     every = grams_out.select("key", "origin").distinct().join(shared, ["key", "origin"], "left")
     n = F.coalesce("n_shared", F.lit(0))
     return every.select("key", "origin", n.alias("n_shared"), (n >= threshold).alias("leaked"))
+
+
+def overlap_components(windows: DataFrame, column: str = "x", n: int = 6) -> DataFrame:
+    """``key, origin, component``: windows of a key that share a run of n values, not all equal, directly or through others, are
+    of one component, which is named by the smallest origin in it. A window without such a run is one of its own.
+
+    Windows are told apart by key and origin themselves and runs by their values, never by hashes alone.
+    """
+    node = F.struct("key", "origin")
+    runs = grams(windows, column, n, least_distinct=2).select("key", F.xxhash64("g").alias("h"), "g", node.alias("node"))
+    first = runs.groupBy("key", "h", "g").agg(F.min("node").alias("a"))
+    edges = runs.join(first, ["key", "h", "g"]).select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    found = connected_components(edges).select(F.col("node").alias("of"), "component")
+    joined = windows.select("key", "origin").distinct().join(found, (F.col("of.key") == F.col("key")) & (F.col("of.origin") == F.col("origin")), "left")
+    return joined.select("key", "origin", F.coalesce("component.origin", "origin").alias("component"))
+
+
+def build_split(windows: DataFrame, fraction: float = 0.12, seed: int = 42, mode: str = "component", column: str = "x") -> DataFrame:
+    """``key, origin, label, size, held_out`` for every window; both sides share no run of values within a key.
+
+    ``component``: overlapping windows are components, labelled densely by first appearance; whole components are held out.
+    ``basin``: whole keys are held out; a key's label is 0. A table without windows gives none.
+    """
+    scratch = Scratch(windows.sparkSession, "build-split")
+    if mode == "basin":
+        sides = hold_out_keys(windows, "key", fraction, seed)
+        sizes = windows.groupBy("key").agg(F.count("*").alias("size")).join(sides, "key")
+        return windows.select("key", "origin", F.lit(0).cast("long").alias("label")).join(sizes, "key").select("key", "origin", "label", "size", "held_out")
+    if mode != "component":
+        raise ValueError(f"mode is component or basin, not {mode}")
+    components = scratch.table(overlap_components(windows, column), "components")
+    labels = dense_labels(components, ["key"], "component", "origin")
+    labelled = scratch.table(components.join(labels, ["key", "component"]).select("key", "origin", "label"), "labels")
+    sides = assign_components(labelled.select("key", F.col("label").alias("component")), fraction, seed).withColumnRenamed("component", "label")
+    return labelled.join(sides, ["key", "label"]).select("key", "origin", "label", "size", "held_out")
+
+
+def split_report(windows: DataFrame, split: DataFrame, column: str = "x", fail: bool = False) -> DataFrame:
+    """``key, n_windows, n_components, largest, n_held, share, n_leaked``: what ``build_split`` made of each key.
+
+    ``n_leaked`` counts held-out windows that share a run with the key's other side; with ``fail`` any raises an error.
+    """
+    sides = grams(windows, column, least_distinct=2).join(split.select("key", "origin", "held_out"), ["key", "origin"])
+    leaks = leaked_windows(sides.where("not held_out"), sides.where("held_out"), threshold=1)
+    leaks = leaks.where("leaked").groupBy("key").agg(F.count("*").alias("n_leaked"))
+    counted = split.groupBy("key").agg(
+        F.count("*").alias("n_windows"), F.countDistinct("label").alias("n_components"), F.max("size").alias("largest"),
+        F.count_if("held_out").alias("n_held"), (F.count_if("held_out") / F.count("*")).alias("share"),
+    )
+    n = F.coalesce("n_leaked", F.lit(0).cast("long"))
+    if fail:
+        n = F.when(n > 0, F.raise_error(F.concat(F.lit("windows leak: "), F.col("key"))).cast("long")).otherwise(n)
+    return counted.join(leaks, "key", "left").select("key", "n_windows", "n_components", "largest", "n_held", "share", n.alias("n_leaked"))

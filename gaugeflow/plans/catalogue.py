@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
 from gaugeflow.functions.series import peak_of_means, route_by_entropy, spark_levels
 from gaugeflow.operators import compare, decompose, metrics, reports, ridge, selection, splits
-from gaugeflow.operators.graph import connected_components
+from gaugeflow.session import Scratch
 from gaugeflow.sources.panel import hourly_panel, hourly_series, long_targets, series_windows
 from gaugeflow.streaming.statistics import running_statistics
 
@@ -214,16 +214,52 @@ def leak_flags(spark, sf_dir):
     return splits.leaked_windows(runs.where("not held_out"), runs.where("held_out"))
 
 
-@query()
+_REACH = """edges AS (SELECT DISTINCT a.key, a.origin AS a, b.origin AS b FROM grams a JOIN grams b USING (key, g) WHERE a.origin <> b.origin),
+reach AS (SELECT key, origin AS a, origin AS b FROM origins UNION SELECT r.key, r.a, e.b FROM reach r JOIN edges e ON e.key = r.key AND e.a = r.b)
+"""
+
+
+@query(PANEL.replace("WITH", "WITH RECURSIVE", 1) + _GRAMS.replace(">= 3)", ">= 2)") + ", " + _REACH + "SELECT key, a AS origin, min(b) AS component FROM reach GROUP BY ALL")
 def overlap_components(spark, sf_dir):
-    """Windows of one key that share a run of six values are one component; no SQL twin (transitive closure)."""
-    windows = _windows(spark, sf_dir)
-    name = F.xxhash64("key", "origin")
-    runs = splits.grams(windows, least_distinct=2).select("key", F.xxhash64("g").alias("h"), "g", name.alias("node"))
-    first = runs.groupBy("key", "h", "g").agg(F.min("node").alias("a"))
-    edges = runs.join(first, ["key", "h", "g"]).select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    found = connected_components(edges).withColumnRenamed("node", "n")
-    return windows.select("key", "origin", name.alias("n")).join(found, "n", "left").select("key", "origin", F.coalesce("component", "n").alias("component"))
+    """Windows of one key that share a run of six values are one component."""
+    return splits.overlap_components(_windows(spark, sf_dir))
+
+
+_SPLIT = """WITH RECURSIVE seen AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600) AS BIGINT) AS h, sum(value) AS q FROM events GROUP BY ALL),
+panel AS (SELECT k.key, g.h, coalesce(s.q, 0.0) AS q FROM (SELECT DISTINCT key FROM seen) k CROSS JOIN (SELECT CAST(range AS BIGINT) AS h FROM range(720)) g LEFT JOIN seen s ON s.key = k.key AND s.h = g.h),
+origins AS (SELECT DISTINCT key, CAST(47 + 24 * range AS BIGINT) AS origin FROM panel CROSS JOIN range(28)),
+w AS (SELECT o.key, o.origin, p.h, list(p.q + 0.0) OVER (PARTITION BY o.key, o.origin ORDER BY p.h ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS g FROM origins o JOIN panel p ON p.key = o.key AND p.h BETWEEN o.origin - 47 AND o.origin),
+grams AS (SELECT DISTINCT key, origin, g FROM w WHERE len(g) = 6 AND len(list_distinct(g)) >= 2),
+""" + _REACH + """, comp AS (SELECT key, a AS origin, min(b) AS first FROM reach GROUP BY ALL),
+lab AS (SELECT key, origin, dense_rank() OVER (PARTITION BY key ORDER BY first) - 1 AS label FROM comp),
+c AS (SELECT key, label, count(*) AS size FROM lab GROUP BY ALL),
+r AS (SELECT *, sum(size) OVER (PARTITION BY key) AS total, min(size) OVER (PARTITION BY key) AS least, row_number() OVER (PARTITION BY key ORDER BY size, label) AS k,
+  sum(size) OVER (PARTITION BY key ORDER BY size, md5('42:' || label), label ROWS UNBOUNDED PRECEDING) AS reached FROM c),
+a AS (SELECT key, label, size, (reached <= floor(total * 0.24) AND reached - size < round_even(total * 0.12, 0)) OR (least > floor(total * 0.24) AND k = 1 AND round_even(total * 0.12, 0) > 0) AS held_out FROM r),
+sp AS (SELECT key, origin, label, size, held_out FROM lab JOIN a USING (key, label))
+"""
+
+
+def _user_windows(spark, sf_dir) -> DataFrame:
+    """Two days of a user's hours every day; days without events part them."""
+    return series_windows(hourly_series(_table(spark, sf_dir, "events"), "user_id"), history=48, ahead=24)
+
+
+@query(_SPLIT + "SELECT * FROM sp")
+def split_labels(spark, sf_dir):
+    """The split builder: overlapping windows, dense labels, packing."""
+    return splits.build_split(_user_windows(spark, sf_dir))
+
+
+@query(
+    _SPLIT + """, lk AS (SELECT x.key, count(DISTINCT x.origin) AS n FROM grams x JOIN sp ON sp.key = x.key AND sp.origin = x.origin AND held_out JOIN grams t ON t.key = x.key AND t.g = x.g JOIN sp u ON u.key = t.key AND u.origin = t.origin AND NOT u.held_out GROUP BY x.key)
+SELECT sp.key, count(*) AS n_windows, count(DISTINCT label) AS n_components, max(size) AS largest, count(*) FILTER (held_out) AS n_held, round(count(*) FILTER (held_out) / count(*), 6) AS share, coalesce(any_value(lk.n), 0) AS n_leaked FROM sp LEFT JOIN lk ON lk.key = sp.key GROUP BY sp.key"""
+)
+def split_report(spark, sf_dir):
+    """What the split builder made of each user; a window that leaks stops the query."""
+    windows = Scratch(spark, "split-report").table(_user_windows(spark, sf_dir), "windows")
+    split = Scratch(spark, "split-report").table(splits.build_split(windows), "split")
+    return rounded(splits.split_report(windows, split, fail=True))
 
 
 @query(PANEL + "e AS (SELECT key, obs, (persistence + mean + climatology + decay) / 4 AS p FROM rows) SELECT key, round(1 - sum((p - obs) ** 2) / (var_pop(obs) * count(*)), 6) AS nse, round(avg(abs(p - obs)), 6) AS mae FROM e GROUP BY key")
