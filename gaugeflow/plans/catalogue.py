@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
 from gaugeflow.functions.series import peak_of_means, route_by_entropy, spark_levels
-from gaugeflow.operators import compare, decompose, metrics, reports, ridge, selection, splits
+from gaugeflow.operators import compare, configs, decompose, metrics, reports, ridge, selection, splits
 from gaugeflow.session import Scratch
 from gaugeflow.sources.panel import hourly_panel, hourly_series, long_targets, series_windows
 from gaugeflow.streaming.statistics import running_statistics
@@ -329,9 +329,10 @@ def supplier_panel_score(spark, sf_dir):
 
 @query("SELECT user_id, substr(sha256('{\"user\": ' || user_id || '}'), 1, 12) AS config_key FROM (SELECT DISTINCT user_id FROM events)")
 def config_key(spark, sf_dir):
-    """The content address of a canonical JSON text."""
+    """The content address of settings in canonical JSON text."""
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select("user_id", F.substring(F.sha2(F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit("}")), 256), 1, 12).alias("config_key"))
+    layers = users.select(F.col("user_id").alias("id"), F.lit(1).alias("priority"), F.to_json(F.struct(F.lit(0).alias("unused"), F.col("user_id").alias("user"))).alias("config"))
+    return configs.content_keys(layers, ["user"]).select(F.col("id").alias("user_id"), F.col("key").alias("config_key"))
 
 
 @query(PANEL + """x AS (SELECT 1) SELECT key, round(avg((decay - obs) ** 2), 6) AS mse, round(avg(abs(decay - obs)), 6) AS mae,
