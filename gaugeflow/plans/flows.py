@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeflow.operators import configs
+from gaugeflow.operators import configs, splits
 from gaugeflow.plans.boards import DONE, RUNS, _BOARD, _runs
-from gaugeflow.plans.catalogue import _table, query, rounded
+from gaugeflow.plans.catalogue import PANEL, _table, _windows, query, rounded
 from gaugeflow.session import Scratch
+from gaugeflow.sources.arrays import read_npz, write_npz
 from gaugeflow.sources.ledger import Ledger
 from gaugeflow.streaming import watch
 
@@ -49,3 +50,20 @@ def watched_board(spark, sf_dir):
     found.awaitTermination()
     board = watch.current_board(spark, out)
     return rounded(board.withColumn("run", F.regexp_replace("run", "^run=", "")))
+
+
+@query(
+    PANEL + """held AS (SELECT key, origin, row_number() OVER (PARTITION BY key ORDER BY md5('42:' || origin), origin) <= 3 AS out FROM origins),
+x AS (SELECT key, origin, max(q) FILTER (h = origin) AS last, round(avg(q), 6) AS mean FROM history GROUP BY ALL), y AS (SELECT key, origin, round(sum(obs), 6) AS ahead FROM targets GROUP BY ALL)
+SELECT key, origin, round(last, 6) AS last, mean, ahead FROM x JOIN y USING (key, origin) JOIN held USING (key, origin) WHERE out"""
+)
+def stored_windows(spark, sf_dir):
+    """Windows written as npz files of arrays and read back, the validation side by a filter of the reader."""
+    windows = _windows(spark, sf_dir)
+    held = splits.hold_out_within(windows, "key", "origin", 0.2).withColumnRenamed("id", "origin")
+    rows = windows.join(held, ["key", "origin"]).select("key", "origin", F.col("held_out").cast("int").alias("split"), "x", "y")
+    path = Scratch(spark, "stored-windows").path("windows")
+    write_npz(rows, path)
+    back = read_npz(spark, path, "key string, origin long, split int, x array<double>, y array<double>").where("split = 1")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return rounded(back.select("key", "origin", F.element_at("x", -1).alias("last"), (total("x") / F.size("x")).alias("mean"), total("y").alias("ahead")))
