@@ -10,7 +10,7 @@ from gaugeflow.operators.ranks import dense_labels, running
 from gaugeflow.session import Scratch
 
 
-def _by_hash(rows: DataFrame, seed: int, name: str, *keys: str) -> DataFrame:
+def ranked_by_hash(rows: DataFrame, seed: int, name: str, *keys: str) -> DataFrame:
     """``rows`` with ``rank`` (from 1) by md5(seed:name), then name, within ``keys``, and the number ``n`` of their rows.
 
     A task ranks the rows of one range of hashes; the counts of the ranges before it are added, so no group has to fit
@@ -30,13 +30,13 @@ def _by_hash(rows: DataFrame, seed: int, name: str, *keys: str) -> DataFrame:
 def hold_out_keys(keys: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """``key, held_out``: the first ``round(n * fraction)`` keys, at least one, in order of md5(seed:key)."""
     distinct = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
-    ranked = _by_hash(distinct, seed, "key")
+    ranked = ranked_by_hash(distinct, seed, "key")
     return ranked.select("key", (F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("n") * fraction))).alias("held_out"))
 
 
 def hold_out_within(rows: DataFrame, key: str, row_id: str, fraction: float, seed: int = 42) -> DataFrame:
     """``key, id, held_out``: in each group the first ``floor(n * fraction)`` rows, at least one, by md5 order."""
-    ranked = _by_hash(rows.select(F.col(key).alias("key"), F.col(row_id).alias("id")).where("key is not null"), seed, "id", "key")
+    ranked = ranked_by_hash(rows.select(F.col(key).alias("key"), F.col(row_id).alias("id")).where("key is not null"), seed, "id", "key")
     return ranked.select("key", "id", (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).alias("held_out"))
 
 
