@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeflow.operators import configs, folds, scorer, splits
-from gaugeflow.plans.boards import DONE, RUNS, _BOARD, _runs
+from gaugeflow.operators import configs, decisions, folds, scorer, splits
+from gaugeflow.plans.boards import DONE, RUN, RUNS, _BOARD, _runs
 from gaugeflow.plans.catalogue import PANEL, _table, _user_windows, _windows, query, rounded
 from gaugeflow.session import Scratch
 from gaugeflow.sources.arrays import read_npz, write_npz
@@ -99,3 +99,53 @@ def ridge_out_of_sample(spark, sf_dir):
     last = F.array_repeat(F.element_at("x", -1), AHEAD).alias("bar")
     rows = long_targets(windows.select("key", "origin", "y", last).join(plain, ["key", "origin"]), "pred", "bar").withColumn("model", F.lit("ridge"))
     return rounded(scorer.score_document(rows, norm, ahead=AHEAD, with_keys=False).select("model", "document.n_basins", "document.n_samples", "document.median_nse", "document.median_nse_persistence", "document.mean_nse_clip"))
+
+
+# What the runs derived from ``supplier`` have besides: two buckets, skills, a bias, and which files there are of them.
+_SHEET = {
+    "arm": RUN["arm"], "seed": RUN["seed"], "run": RUN["run"], "state": RUN["state"], "dev": RUN["dev"], "sanval": RUN["sanval"], "h37": RUN["h37_48"], "h25": "s_acctbal / 1e4 - s_suppkey * 31 % 40 / 1e2",
+    "beta": "CASE WHEN s_suppkey % 9 <> 0 THEN 0.7e0 + s_suppkey * 13 % 50 / 1e2 END", "e1": "s_suppkey * 17 % 100 / 1e2", "e2": "s_suppkey * 23 % 100 / 1e2", "e3": "s_suppkey * 29 % 100 / 1e2",
+    "skilled": "s_suppkey % 4 <> 0", "rescored": "s_suppkey % 6 <> 1", "previous": "concat('exp_', lpad(concat('', CAST(floor(s_suppkey / 3) AS BIGINT) - 1), 4, '0'))", "k": "s_suppkey",
+}
+_FILES = "SELECT run, arm, seed, {rank} AS rk, dev + {more} AS m, (h25 + h37) / 2 AS h, CASE WHEN {skilled} THEN (e1 + e2 + e3) / 3 END AS e, beta, sanval AS sv FROM s WHERE state = 'done' AND dev IS NOT NULL"
+
+
+@query(
+    "WITH s AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _SHEET.items()) + " FROM supplier), f AS (" + _FILES.format(rank="CASE WHEN skilled THEN 0 ELSE 2 END", more="0", skilled="skilled")
+    + " UNION ALL " + _FILES.format(rank="1", more="0.001", skilled="true") + """ AND rescored),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY rk) AS n FROM f) WHERE n = 1),
+t AS (SELECT DISTINCT arm, previous FROM s WHERE k >= 3),
+p AS (SELECT x.arm, x.seed, x.m - y.m AS dm, x.h - y.h AS dh, x.e - y.e AS de, x.sv - y.sv AS ds FROM t JOIN a x ON x.arm = t.arm JOIN a y ON y.arm = t.previous AND y.seed = x.seed),
+g AS (SELECT t.arm, count(dm) AS n, count(dh) AS nh, avg(dm) AS dm, min(dm) AS least, avg(dh) AS dh, max(dm) FILTER (seed = 42) AS dm42, max(de) FILTER (seed = 42) AS de42, max(ds) FILTER (seed = 42) AS ds42, count(dm) FILTER (seed = 42) AS n42,
+  coalesce(string_agg('s' || seed || ': ' || printf('%+.4f', dm) || ' (h25-48 ' || coalesce(printf('%+.4f', dh), '-') || ')', '  ' ORDER BY seed), '-') AS pairs FROM t LEFT JOIN p ON p.arm = t.arm GROUP BY t.arm),
+b AS (SELECT arm, median(beta) AS beta FROM a GROUP BY arm),
+h AS (SELECT event_type AS run, CAST(ts AS DATE) AS day, avg(value) AS nse, (min(value) + max(value)) / 2 AS ema FROM events GROUP BY ALL),
+w AS (SELECT run, avg(nse) OVER o AS nse, avg(ema) OVER o AS ema, count(*) OVER o AS n FROM h WINDOW o AS (PARTITION BY run ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+v AS (SELECT count(*) FILTER (ema >= nse) AS votes FROM (SELECT run, max(nse) AS nse, max(ema) AS ema FROM w WHERE n = 3 GROUP BY run))
+SELECT 'adopt ' || arm AS rule, n AS n_pairs, round(dm, 6) AS value, CASE WHEN n < 3 OR nh < 3 THEN 'PENDING' WHEN dm >= 0.02 AND least > 0 AND dh >= 0 THEN 'ADOPT' ELSE 'REJECT' END AS verdict, pairs FROM g
+UNION ALL SELECT 'pick ' || g.arm, n, round(dm, 6), CASE WHEN n < 3 THEN 'PENDING' WHEN dm >= 0.01 AND coalesce(beta >= 0.9, false) THEN 'MAE' ELSE 'Huber 0.5' END, pairs FROM g LEFT JOIN b ON b.arm = g.arm
+UNION ALL SELECT 'gate ' || arm, n42, round(dm42, 6), CASE WHEN dm42 IS NULL OR de42 IS NULL THEN 'PENDING' WHEN dm42 >= 0.01 AND de42 > 0 THEN 'PASS' ELSE 'FAIL' END, pairs FROM g
+UNION ALL SELECT 'close ' || arm, n42, round(dm42, 6), CASE WHEN dm42 IS NULL OR ds42 IS NULL THEN 'PENDING' WHEN dm42 < 0.02 AND ds42 < 0.02 THEN 'CLOSE' ELSE 'KEEP' END, pairs FROM g
+UNION ALL SELECT 'votes *', 0, CAST(votes AS DOUBLE), CASE WHEN votes >= 4 THEN 'ADOPT' ELSE 'REJECT' END, '-' FROM v"""
+)
+def decision_sheet(spark, sf_dir):
+    """Every arm against the one before it by all rules, from the file of each run that counts, and the votes of curves."""
+    scratch = Scratch(spark, "decision-sheet")
+    s = _table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in _SHEET.items()))
+    done = s.where("state = 'done' AND dev IS NOT NULL").select(
+        "run", "arm", "seed", "sanval", F.col("beta").alias("highflow_beta"), "dev", "skilled", "rescored",
+        F.create_map(F.lit("h25_36"), "h25", F.lit("h37_48"), "h37").alias("horizon_nse"), F.array("e1", "e2", "e3").alias("skill"),
+    )
+    own = done.select("*", F.lit("own").alias("source"), F.col("dev").alias("median_nse"), F.when(F.col("skilled"), F.col("skill")).alias("skill_by_lead"))
+    again = done.where("rescored").select("*", F.lit("rescore").alias("source"), (F.col("dev") + 0.001).alias("median_nse"), F.col("skill").alias("skill_by_lead"))
+    runs = decisions.resolved(own.unionByName(again))
+    events = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.to_date("ts").alias("epoch"))
+    curves = events.agg(F.avg("value").alias("nse"), ((F.min("value") + F.max("value")) / 2).alias("ema"))
+    found = scratch.table(decisions.metric_rows(runs).unionByName(decisions.ema_votes(curves).withColumn("seed", F.col("seed").cast("int"))), "metrics")
+    arms = s.where("k >= 3").select("arm", "previous").distinct()
+    kinds = F.explode(F.array(*(F.lit(k) for k in ("adopt", "pick", "gate", "close")))).alias("kind")
+    rules = arms.select("*", kinds).select(F.concat("kind", F.lit(" "), "arm").alias("rule"), "kind", F.col("arm").alias("treat"), F.col("previous").alias("ref"))
+    rules = rules.union(spark.range(1).select(F.lit("votes *"), F.lit("votes"), F.lit("*"), F.lit("*")))
+    judged = decisions.decide(rules, found).join(decisions.pair_texts(rules, found), "rule")
+    value = F.coalesce(F.try_element_at("values", F.lit("median_nse mean")), F.try_element_at("values", F.lit("votes mean")))
+    return rounded(judged.select("rule", F.col("n_pairs").cast("long").alias("n_pairs"), value.alias("value"), "verdict", "pairs"))

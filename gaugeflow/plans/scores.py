@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeflow.functions.forecasts import KINDS
-from gaugeflow.operators import metrics, scorer
+from gaugeflow.operators import correlation, metrics, scorer
 from gaugeflow.plans.boards import _SAME, _flags
-from gaugeflow.plans.catalogue import PANEL, _windows, query
+from gaugeflow.plans.catalogue import PANEL, _table, _windows, query, rounded
 from gaugeflow.session import Scratch
+from gaugeflow.sources.panel import hourly_series
 
 
 def fixed_point(column: Column, kind: T.DataType, digits: int = 6) -> Column:
@@ -99,3 +100,28 @@ def key_scores(spark, sf_dir):
     found = scorer.key_scores(scorer.moments_cube(scorer.baseline_rows(_windows(spark, sf_dir)))).where("key is not null")
     bucket = lambda name: F.round(F.try_element_at("buckets", F.lit(name)), 6)
     return found.select("model", "key", F.round("whole.nse", 6).alias("nse"), F.round("whole.mae", 6).alias("mae"), bucket("h1-12").alias("first_hours"), bucket("h37-48").alias("last_hours"))
+
+
+_USERS = """WITH seen AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600) AS BIGINT) AS h, sum(value) AS q FROM events GROUP BY ALL),
+p AS (SELECT k.key, g.h, coalesce(s.q, 0.0) AS q FROM (SELECT DISTINCT key FROM seen) k CROSS JOIN (SELECT CAST(range AS BIGINT) AS h FROM range(720)) g LEFT JOIN seen s ON s.key = k.key AND s.h = g.h)
+"""
+
+
+@query(_USERS + "SELECT x.key AS a, y.key AS b, round(CASE WHEN stddev_pop(x.q) <= 1e-10 OR stddev_pop(y.q) <= 1e-10 THEN 0.0 ELSE covar_pop(x.q, y.q) / (stddev_pop(x.q) * stddev_pop(y.q)) END, 6) + 0.0 AS corr FROM p x JOIN p y ON x.h = y.h AND x.key < y.key GROUP BY x.key, y.key")
+def correlation_matrix(spark, sf_dir):
+    """How alike the hours of every two users are."""
+    found = correlation.correlations(hourly_series(_table(spark, sf_dir, "events"), "user_id"))
+    return found.select("a", "b", (F.round("corr", 6) + 0.0).alias("corr"))
+
+
+@query(
+    PANEL + """t AS (SELECT h, sum(q) AS q FROM panel GROUP BY h),
+c AS (SELECT key, stddev_pop(p.q) AS deviation, sqrt(avg(p.q * p.q)) AS rms, CASE WHEN stddev_pop(p.q) <= 1e-10 OR stddev_pop(t.q) <= 1e-10 THEN 0.0 ELSE covar_pop(p.q, t.q) / (stddev_pop(p.q) * stddev_pop(t.q)) END AS corr FROM panel p JOIN t USING (h) GROUP BY key),
+w AS (SELECT *, abs(corr) * deviation AS weight FROM c), r AS (SELECT *, row_number() OVER (ORDER BY weight DESC, key) AS k, sum(weight) OVER () AS total FROM w)
+SELECT key, round(corr, 6) AS corr, round(rms, 6) AS rms, round(deviation, 6) AS deviation, round(weight, 6) AS weight, round(weight / total, 6) AS share, CAST(CASE WHEN k <= 2 THEN k END AS INTEGER) AS rank, round(sum(weight) FILTER (k <= 2) OVER () / total, 6) AS top_share FROM r"""
+)
+def energy_shares(spark, sf_dir):
+    """What part of the whole's variation each type of events holds, and the two that hold most."""
+    events = _table(spark, sf_dir, "events")
+    whole = hourly_series(events.withColumn("key", F.lit("*")), "key")
+    return rounded(correlation.energy_shares(hourly_series(events).unionByName(whole), "*"))
