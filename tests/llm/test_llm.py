@@ -1,10 +1,13 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeflow.llm import decontaminate, lm, near_dedup, packing, quality, sharding, substrings, tokens, urls, warc
 from gaugeflow.session import Scratch
@@ -134,6 +137,31 @@ def test_leaked_items_against_brute_force(spark, empty):
     assert decontaminate.leaked_items(empty, bench).count() == 0 and decontaminate.leaked_items(df, bench.limit(0)).count() == 0
 
 
+def test_leaked_items_of_a_long_item_that_repeats_shingles(spark):
+    """2000 words of which some come again, held by several documents: every window begins at one of its shingles."""
+    rng = random.Random(9)
+    item = [rng.choice("abcdefghij") + str(rng.randrange(3000)) for _ in range(1500)]
+    item += item[100:400] + ["again and again so"] * 50
+    item = " ".join(item)
+    other = " ".join(w if i % 40 else f"other{i}" for i, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(1, "before it " + item + " after it"), (2, item), (3, item.upper()), (4, other), (5, "nothing of it")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["similarity"], r["start"]) for r in decontaminate.leaked_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and [got[k] for k in (1, 2, 3)] == [(1.0, 2), (1.0, 0), (1.0, 0)] and 0.75 <= got[4][0] < 0.9
+    assert time.time() - began < 60
+
+
+def test_numbered_bags_are_sets(spark):
+    rng = random.Random(4)
+    rows = [([rng.randrange(5) for _ in range(n)],) for n in (0, 1, 2, 5, 30, 30)]
+    table = spark.createDataFrame(rows, "bag array<long>")
+    sets = [r[0] for r in table.select(decontaminate.numbered(F.col("bag"))).collect()]
+    assert all(len(s) == len(set(s)) == len(b) for s, (b,) in zip(sets, rows, strict=True))
+    for s, (a,) in zip(sets, rows, strict=True):
+        for t, (b,) in zip(sets, rows, strict=True):
+            assert len(set(s) & set(t)) == sum((Counter(a) & Counter(b)).values())
+
+
 def test_leaked_items_with_repeated_and_null_ids_and_repeated_shingles(spark):
     rng = random.Random(6)
     words = lambda n: " ".join(f"b{rng.randrange(900)}" for _ in range(n))
