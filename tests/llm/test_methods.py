@@ -25,6 +25,28 @@ def test_least_determinants_against_all_subsets(spark):
     assert np.allclose([got["g"][f"m{i}"] for i in range(5)], x[list(best)].mean(axis=0))
 
 
+def test_each_statistic_can_reject_by_itself(spark):
+    """Texts that pass the base rules and differ from an even group in one statistic only."""
+    rng = random.Random(8)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    words = lambda k, n=5: [word(n) for _ in range(k)]
+    lines = lambda w: "\n".join(" ".join(w[k : k + 10]) for k in range(0, len(w), 10))
+    rows = [(i, lines(words(rng.randrange(170, 230)))) for i in range(200)]
+    once = words(163)
+    odd = {
+        "words": lines(words(4000)), "length": lines(words(200, 11)), "symbols": lines(["#" + x if i % 3 else x for i, x in enumerate(words(200))]),
+        "lines": "\n".join(x for k in range(20) for x in (["q"] * (1 + (k % 2)) + [" ".join(words(9))])), "repeats": " ".join(once[:17] + once + ["zz"]),
+    }
+    near = {"one line twice of 24": lines([*(w := words(230)), *w[:10]])}
+    texts = rows + [(1000 + k, t) for k, t in enumerate([*odd.values(), *near.values()])]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string")).collect()}
+    found = [got[1000 + k] for k in range(len(odd))]
+    assert not any(r["base_failed"] for r in found)
+    assert [r["kept"] for r in found] == [False] * len(odd), [(n, r["distance2"]) for n, r in zip(odd, found, strict=True)]
+    assert (found[3]["n_dup_lines"], found[3]["n_repeat_words"], found[4]["n_dup_lines"], found[4]["n_repeat_words"]) == (29, 0, 0, 34)
+    assert got[1005]["kept"] and sum(got[i]["kept"] for i, _ in rows) >= 0.98 * len(rows)
+
+
 def test_quality_of_duplicate_lines_repeated_rows_and_other_columns(spark):
     rng = random.Random(3)
     line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
