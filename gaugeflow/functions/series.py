@@ -85,3 +85,35 @@ def warmup_cosine(step: Column, total: int, warmup: float = 0.05, least: float =
     ramp = max(1, int(total * warmup))
     done = (step - ramp) / max(1, total - ramp)
     return F.when(step < ramp, step / ramp).otherwise(least + (1 - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * done)))
+
+
+def sample_entropy(values: Column, tolerance: float = 0.2, flat: float = 1e-8, most: float = 3.0) -> Column:
+    """-ln(A / B): B counts the pairs of runs of two values that differ by at most ``tolerance`` deviations everywhere, A those
+    of three. Without pairs, and at most, ``most``; short series and those with a deviation below ``flat`` give 0; null
+    arrays, and arrays with a null, give null.
+
+    Pairs are counted by the distance between them: along each, a run of close values of length k holds k - 1 pairs of two.
+    """
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    variance = bound(mean, lambda m: F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n)
+    counts = lambda run, b, a: F.struct(run.cast("int").alias("run"), b.cast("long").alias("b"), a.cast("long").alias("a"))
+
+    def pairs(near: Column) -> Column:
+        def distance(total: Column, d: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                close = F.abs(F.get(values, i) - F.get(values, i + d)) <= near
+                run = F.when(close, s["run"] + 1).otherwise(F.lit(0))
+                return counts(run, s["b"] + F.when(close & (s["run"] >= 1), 1).otherwise(0), s["a"] + F.when(close & (s["run"] >= 2), 1).otherwise(0))
+
+            # a run goes along one distance only
+            return F.aggregate(F.sequence(F.lit(0), n - 1 - d), counts(F.lit(0), total["b"], total["a"]), step)
+
+        return F.aggregate(F.sequence(F.lit(1), n - 1), counts(F.lit(0), F.lit(0), F.lit(0)), distance)
+
+    entropy = lambda c: F.when((c["a"] > 0) & (c["b"] > 0), F.least(F.lit(most), F.log(F.try_divide(c["b"].cast("double"), c["a"].cast("double"))))).otherwise(most)
+    usable = values.isNotNull() & ~F.exists(values, lambda v: v.isNull())
+    spread = F.sqrt(variance)
+    found = F.when((n <= 3) | (spread < flat), 0.0).otherwise(bound(bound(tolerance * spread, pairs), entropy))
+    return F.when(usable, found)

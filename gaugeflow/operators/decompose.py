@@ -62,15 +62,6 @@ def plain_modes(windows: DataFrame, keys: list[str], series: str = "x", most: in
     return chosen.mapInPandas(run, f"{kinds}, mode int, part array<double>")
 
 
-def sample_entropy(series: Column, m: int = 2, tolerance: float = 0.2) -> Column:
-    """The sample entropy of an array column; null for null arrays and for arrays with a null."""
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else modes.sample_entropy(np.asarray(v, float), m, tolerance))
-
-    return run(F.when(~F.exists(series, lambda v: v.isNull()), series))
-
-
 def fill_cache(windows: DataFrame, keys: list[str], path: str, **settings) -> DataFrame:
     """The decompositions of ``windows`` at ``path``; only those that are not there yet are computed and appended.
 

@@ -86,11 +86,29 @@ def labelled(runs: DataFrame, labels: DataFrame, suffix: str = "_s[0-9]+$") -> D
     return named.select("run", F.when(F.col("label").isNotNull(), F.concat("label", F.regexp_replace("tail", "_s", " seed "))).otherwise(F.col("run")).alias("label"))
 
 
-def lookup(runs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked, run``: the run of that name, else the first by name that contains it; null if there is none."""
-    met = asked.join(runs.select("run"), F.col("run").contains(F.col("asked")), "left")
-    first = F.min(F.struct((F.col("run") != F.col("asked")).alias("inexact"), "run"))
-    return met.groupBy("asked").agg(first.alias("m")).select("asked", "m.run")
+def _parts(text: str, low: int, high: int) -> Column:
+    """The distinct parts of ``low`` to ``high`` characters of a text column."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    sized = [F.when(F.length(text) >= n, of(n) if n else F.array(F.lit(""))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+    return F.array_distinct(F.flatten(F.array(*sized)))
+
+
+def lookup(runs: DataFrame, asked: DataFrame, n: int = 3) -> DataFrame:
+    """``asked, run``: the run of that name, else the first by name that contains it; null if there is none.
+
+    Names are found through an index of their parts of up to ``n`` characters: a text no longer than that is looked up itself; of
+    a longer one the part that fewest names hold, and only their names are searched. All joins are by equality.
+    """
+    named, wanted = runs.select("run").where("run is not null").distinct(), asked.select("asked").distinct()
+    index = named.select("run", F.explode(_parts("run", 0, n)).alias("part"))
+    common = index.groupBy("part").agg(F.count("*").alias("n"), F.min("run").alias("first"))
+    short = wanted.where(F.length("asked") <= n).join(common, F.col("asked") == F.col("part")).select("asked", F.col("first").alias("found"))
+    parts = wanted.where(F.length("asked") > n).select("asked", F.explode(_parts("asked", n, n)).alias("part")).join(common.select("part", "n"), "part", "left")
+    rarest = parts.groupBy("asked").agg(F.min_by("part", F.col("n")).alias("part"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
+    long = rarest.join(index, "part").where(F.col("run").contains(F.col("asked"))).groupBy("asked").agg(F.min("run").alias("found"))
+    exact = named.select(F.col("run").alias("asked"), F.col("run").alias("same"))
+    met = wanted.join(exact, "asked", "left").join(short.unionByName(long), "asked", "left")
+    return met.select("asked", F.coalesce("same", "found").alias("run"))
 
 
 def coerced(text: Column) -> Column:
@@ -128,3 +146,26 @@ def normalizer_differences(a: DataFrame, b: DataFrame, tolerance: float = 1e-6)
     both = a.join(b.select("key", F.col("mean").alias("m"), F.col("std").alias("s")), "key", "full")
     near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= tolerance + 1e-5 * F.abs(F.col(y))
     return both.where(~F.coalesce(near("mean", "m") & near("std", "s"), F.lit(False))).select("key")
+
+
+def comparison(runs: DataFrame, rank_by: str, histories: DataFrame | None = None) -> DataFrame:
+    """``place, run, median_nse, median_kge, gap, verdict, gradient_norm`` and the ranking figure as ``ranked``: all finished runs on
+    one board, best first by ``rank_by``; runs without it come last, equal ones by name.
+
+    ``histories`` (``run, grad_norm``) gives each run's mean gradient norm over the epochs that have one.
+    """
+    done = runs.where("state = 'done'")
+    gap = F.col("dev") - F.col("sanval")
+    board = done.select("run", F.col("dev").alias("median_nse"), F.col("kge").alias("median_kge"), gap.alias("gap"), generalisation(gap).alias("verdict"), F.col(rank_by).alias("ranked"))
+    norms = done.select("run").limit(0).withColumn("gradient_norm", F.lit(None).cast("double"))
+    if histories is not None:
+        norms = histories.where(~F.isnan("grad_norm")).groupBy("run").agg(F.avg("grad_norm").alias("gradient_norm"))
+    place = F.row_number().over(Window.orderBy(F.col("ranked").desc_nulls_last(), "run")).cast("long")
+    return board.join(norms, "run", "left").select(place.alias("place"), "*")
+
+
+def seed_points(runs: DataFrame, splits: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    """``arm, split, seed, value, mean, n``: a row for each run and split that has a score, with its arm's mean over seeds."""
+    long = runs.where("state = 'done'").unpivot(["arm", "seed"], list(splits), "split", "value").where("value is not null")
+    means = long.groupBy("arm", "split").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return long.join(means, ["arm", "split"]).select("arm", "split", "seed", "value", "mean", "n")

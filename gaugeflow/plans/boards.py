@@ -381,3 +381,20 @@ def key_sets(spark, sf_dir):
     every = spark.createDataFrame([("both",), ("first only",), ("second only",)], "side string")
     found = side.where("user_id is not null").groupBy(name.alias("side")).agg(F.count("*").alias("n"))
     return every.join(found, "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    RUNS.replace(" FROM supplier)", ", s_suppkey, s_acctbal / 1e4 - 0.05e0 AS kge FROM supplier)") + """, h AS (SELECT l_suppkey, avg(CASE WHEN l_quantity <= 40 THEN l_tax * 20 END) AS gradient_norm FROM lineitem GROUP BY l_suppkey)
+SELECT row_number() OVER (ORDER BY h37_48 DESC NULLS LAST, run) AS place, run, round(dev, 6) AS median_nse, round(kge, 6) AS median_kge, round(dev - sanval, 6) AS gap,
+  CASE WHEN dev - sanval > 0.02 THEN 'higher' WHEN dev - sanval < -0.02 THEN 'lower' WHEN dev IS NOT NULL THEN 'agrees' END AS verdict, round(h37_48, 6) AS ranked, round(gradient_norm, 6) AS gradient_norm FROM runs LEFT JOIN h ON l_suppkey = s_suppkey WHERE state = 'done'"""
+)
+def comparison_board(spark, sf_dir):
+    """All finished runs on one board, ranked by the last hours, with gaps, KGE and mean gradient norms of their histories."""
+    runs = _table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in RUN.items()), "s_suppkey", "s_acctbal / 1e4 - 0.05e0 AS kge")
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.when(F.col("l_quantity") <= 40, F.col("l_tax") * 20).alias("grad_norm"))
+    return rounded(reports.comparison(runs, "h37_48", lines.join(runs.select("s_suppkey", "run"), "s_suppkey").select("run", "grad_norm")))
+
+
+@query(RUNS + ", l AS (SELECT arm, 'dev' AS split, seed, dev AS value FROM runs WHERE state = 'done' AND dev IS NOT NULL UNION ALL SELECT arm, 'test', seed, test FROM runs WHERE state = 'done' AND test IS NOT NULL) SELECT arm, split, seed, round(value, 6) AS value, round(avg(value) OVER w, 6) AS mean, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY arm, split)")
+def seed_points(spark, sf_dir):
+    return rounded(reports.seed_points(_runs(spark, sf_dir)))

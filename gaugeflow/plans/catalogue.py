@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
-from gaugeflow.functions.series import peak_of_means, route_by_entropy, spark_levels
+from gaugeflow.functions.series import peak_of_means, route_by_entropy, sample_entropy, spark_levels
 from gaugeflow.operators import compare, configs, decompose, metrics, reports, ridge, selection, splits
 from gaugeflow.session import Scratch
 from gaugeflow.sources.panel import hourly_panel, hourly_series, long_targets, series_windows
@@ -398,7 +398,7 @@ c AS (SELECT a.key, a.origin, count(*) AS b, count(*) FILTER (abs(a.q2 - z.q2) <
 SELECT e.key, e.origin, round(CASE WHEN any_value(e.r) < 2e-9 THEN 0.0 WHEN coalesce(any_value(a), 0) = 0 THEN 3.0 ELSE least(3.0, ln(any_value(b) / any_value(a))) END, 6) AS entropy FROM e LEFT JOIN c ON c.key = e.key AND c.origin = e.origin GROUP BY e.key, e.origin"""
 )
 def sample_entropy_windows(spark, sf_dir):
-    return rounded(_windows(spark, sf_dir).select("key", "origin", decompose.sample_entropy(F.col("x")).alias("entropy")))
+    return rounded(_windows(spark, sf_dir).select("key", "origin", sample_entropy(F.col("x")).alias("entropy")))
 
 
 @query()

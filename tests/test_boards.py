@@ -4,8 +4,12 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gaugeflow.functions import modes
+from gaugeflow.functions.series import sample_entropy
 from gaugeflow.operators import compare, reports, splits
 from gaugeflow.plans import boards, catalogue
 
@@ -85,3 +89,32 @@ def test_same_rows_as_duckdb(spark, name):
     plain = lambda v: "null" if v is None or v != v or str(v) == "<NA>" else round(float(v), 5) if isinstance(v, float) else str(v)
     key = lambda df: sorted(str(tuple(map(plain, r))) for r in df[columns].astype(object).itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_lookup_through_parts_of_names(spark):
+    names = ["exp_001", "exp_001_s42", "exp_010", "b", "exp", "日本語の名", "x_exp_001"]
+    asked = ["exp_001", "001_s", "exp", "ex", "", "b", "p_0", "zz", "nothing of it", "本語", "語の名", "exp_001_s43", "_exp_0", "名"]
+    found = reports.lookup(spark.createDataFrame([(n,) for n in names], "run string"), spark.createDataFrame([(a,) for a in asked], "asked string"))
+    want = {a: a if a in names else min((n for n in names if a in n), default=None) for a in asked}
+    assert {r.asked: r.run for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_entropy_of_arrays_equals_that_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    series = [rng.normal(size=60), np.sin(np.arange(80) / 3), np.ones(20), np.array([1.0, 2.0]), np.repeat(rng.integers(0, 3, 30), 2), np.arange(50.0) ** 3]
+    rows = [(i, [float(v) for v in s]) for i, s in enumerate(series)] + [(10, None), (11, [1.0, None, 2.0, 3.0]), (12, [])]
+    got = {r.i: r.e for r in spark.createDataFrame(rows, "i int, x array<double>").select("i", sample_entropy(F.col("x")).alias("e")).collect()}
+    assert [got[i] for i in range(len(series))] == pytest.approx([modes.sample_entropy(np.asarray(s, float)) for s in series], rel=1e-12)
+    assert got[10] is None and got[11] is None and got[12] == 0.0
+
+
+def test_comparison_and_seed_points(spark):
+    runs = [("a", "a", 42, "done", 0.6, 0.5, 0.7, 0.1, 0.4), ("a_s7", "a", 7, "done", 0.8, 0.9, None, 0.3, None), ("c", "c", 42, "running", 0.9, 0.9, 0.9, 0.9, 0.9)]
+    table = spark.createDataFrame(runs, "run string, arm string, seed int, state string, dev double, sanval double, test double, kge double, h37_48 double")
+    norms = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", 2.0)], "run string, grad_norm double")
+    got = [(r.place, r.run, r.verdict, r.gradient_norm) for r in reports.comparison(table, "h37_48", norms).orderBy("place").collect()]
+    assert got == [(1, "a", "higher", 1.5), (2, "a_s7", "lower", None)]
+    points = sorted((r.arm, r.split, r.seed, r.n) for r in reports.seed_points(table).collect())
+    assert points == [("a", "dev", 7, 2), ("a", "dev", 42, 2), ("a", "test", 42, 1)]

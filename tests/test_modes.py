@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.functions import modes
+from gaugeflow.functions import modes, series
 from gaugeflow.operators import decompose
 from gaugeflow.sources import runs
 
@@ -93,7 +93,7 @@ def test_decomposition_of_windows_and_resumed_cache(spark, tmp_path):
     assert (got[2]["code"], got[2]["n_modes"], got[2]["entropy"]) == (1, 0, 0)
     z = df.where("origin = 2").join(found, ["key", "origin"]).select(decompose.normalised_bands(F.col("bands"), F.lit(0.1), F.lit(0.5)).alias("z")).first()["z"]
     assert abs(sum(b[0] for b in z) - 0.27 / 0.5) < 1e-6
-    assert df.select(decompose.sample_entropy(F.col("x")).alias("s")).where("s is null").count() == 2
+    assert df.select(series.sample_entropy(F.col("x")).alias("s")).where("s is null").count() == 2
     assert decompose.plain_modes(df.where("origin = 1"), ["key", "origin"]).count() >= 3
 
 
