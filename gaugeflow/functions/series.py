@@ -117,3 +117,13 @@ def sample_entropy(values: Column, tolerance: float = 0.2, flat: float = 1e-8, m
     spread = F.sqrt(variance)
     found = F.when((n <= 3) | (spread < flat), 0.0).otherwise(bound(bound(tolerance * spread, pairs), entropy))
     return F.when(usable, found)
+
+
+def with_last_added(residuals: Column, last: Column) -> Column:
+    """A forecast of differences from the last value, as values."""
+    return F.transform(residuals, lambda v: v + last)
+
+
+def patience(base: Column, epochs: Column, by_batch: Column) -> Column:
+    """How many epochs without improvement to wait: half of all at least where the schedule steps with every batch."""
+    return F.when(by_batch, F.greatest(base, F.floor(epochs / 2).cast("int"))).otherwise(base)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.forecasts import KINDS, with_forecasts
 from gaugeflow.operators.metrics import EPS
+from gaugeflow.operators.selection import quantiles
 from gaugeflow.sources.panel import long_targets
 
 SUBSETS = {"dev_clean": "not overlap", "dev_overlap": "overlap", "dev_target_seen": "target_seen"}
@@ -153,3 +154,10 @@ def baseline_rows(windows: DataFrame, kinds: Sequence[str] = KINDS, bar: str = "
 def evaluate(rows: DataFrame, scale: DataFrame, split: str, flags: DataFrame | None = None, tails: DataFrame | None = None) -> DataFrame:
     """``score_document`` as for a split: the subsets by overlap are of the dev split only."""
     return score_document(rows, scale, flags if split == "dev" else None, tails)
+
+
+def known_and_unseen(scores: DataFrame, training_keys: DataFrame) -> DataFrame:
+    """``model, known, n_keys, median_nse`` of ``model, key, nse``: keys that training has had, and those it has not."""
+    seen = training_keys.select("key").distinct().withColumn("known", F.lit(True))
+    marked = scores.join(seen, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return quantiles(marked, ["model", "known"], "nse", {"median_nse": 0.5}).select("model", "known", F.col("n_rows").alias("n_keys"), "median_nse")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.functions.forecasts import KINDS
-from gaugeflow.operators import correlation, metrics, scorer
+from gaugeflow.functions.forecasts import KINDS, with_forecasts
+from gaugeflow.functions.series import patience, with_last_added
+from gaugeflow.operators import compare, correlation, metrics, sampling, scorer, splits
 from gaugeflow.plans.boards import _SAME, _flags
 from gaugeflow.plans.catalogue import PANEL, _table, _windows, query, rounded
 from gaugeflow.session import Scratch
@@ -125,3 +126,62 @@ def energy_shares(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     whole = hourly_series(events.withColumn("key", F.lit("*")), "key")
     return rounded(correlation.energy_shares(hourly_series(events).unionByName(whole), "*"))
+
+
+@query(
+    PANEL + _LONG + f""", hk AS (SELECT key, row_number() OVER (ORDER BY md5('42:' || key), key) <= greatest(1, round_even(count(*) OVER () * 0.4, 0)) AS held FROM (SELECT DISTINCT key FROM panel)),
+k AS (SELECT model, key, {_NSE.format(p="p")} AS nse FROM long GROUP BY ALL)
+SELECT model, NOT held AS known, count(*) AS n_keys, round(median(nse), 6) AS median_nse FROM k JOIN hk USING (key) GROUP BY ALL"""
+)
+def known_and_unseen(spark, sf_dir):
+    """Median scores of the keys that a split leaves in training and of those that it holds out."""
+    rows = scorer.baseline_rows(_windows(spark, sf_dir))
+    scores = scorer.key_scores(scorer.moments_cube(rows)).where("key is not null").select("model", "key", F.col("whole.nse").alias("nse"))
+    sides = splits.hold_out_keys(_windows(spark, sf_dir), "key", 0.4)
+    return rounded(scorer.known_and_unseen(scores, sides.where("not held_out")))
+
+
+@query(PANEL + "s AS (SELECT key, 1 - sum((decay - obs) ** 2) / (sum(obs * obs) - sum(obs) ** 2 / count(*)) AS nse FROM rows GROUP BY key) SELECT round(coalesce(median(nse), 0.0), 6) AS median_nse FROM s")
+def quick_median(spark, sf_dir):
+    """The one figure that training watches: the median of the quick scores, 0 without any."""
+    scored = compare.quick_nse(compared_rows(spark, sf_dir), "decay")
+    return rounded(scored.agg(F.coalesce(F.median("nse"), F.lit(0.0)).alias("median_nse")))
+
+
+def compared_rows(spark, sf_dir) -> DataFrame:
+    rows = scorer.baseline_rows(_windows(spark, sf_dir), ("decay",))
+    return rows.select("key", "origin", "lead_h", "obs", F.col("pred").alias("decay"))
+
+
+@query("SELECT event_type AS key, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) AS k FROM events) WHERE k <= 200")
+def sampled_events(spark, sf_dir):
+    """A sampling operator: 200 events of each type, the same in every run."""
+    events = _table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "event_id", "value")
+    return sampling.sample_exactly(events, "event_id", 200, 7, ["key"])
+
+
+@query("WITH u AS (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 20) SELECT user_id AS key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id IN (FROM u)) WHERE k <= 15")
+def first_events(spark, sf_dir):
+    """A capped scan as a report asks for it: the first 15 events of the first 20 users."""
+    return sampling.first_rows(_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id"), 20, 15, "event_id")
+
+
+@query("WITH c AS (SELECT s_suppkey AS key, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey) SELECT count(*) AS n_expected, count(*) FILTER (n > 0) AS n_covered, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) AS n_unknown FROM c")
+def supplier_coverage(spark, sf_dir):
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
+    return sampling.coverage(_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key")), suppliers)
+
+
+@query("WITH c AS (SELECT least(l_linenumber, 9) AS code, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CAST(range AS BIGINT) AS code, coalesce(n, 0) AS n FROM range(10) LEFT JOIN c ON c.code = range")
+def line_histogram(spark, sf_dir):
+    return sampling.code_histogram(_table(spark, sf_dir, "lineitem").select(F.least("l_linenumber", F.lit(9)).alias("code")), "code", 10)
+
+
+@query(PANEL + "d AS (SELECT key, origin, lead_h, persistence + (decay - persistence) AS added FROM rows) SELECT key, round(avg(added), 6) AS mean, CAST(greatest(5, 48 // 2) AS INTEGER) AS waits FROM d GROUP BY key")
+def residual_forecasts(spark, sf_dir):
+    """Forecasts of differences with the last value added back; the patience of a schedule of 48 steps."""
+    windows = with_forecasts(_windows(spark, sf_dir), "decay").withColumn("last", F.element_at("x", -1))
+    residual = F.transform("decay", lambda v: v - F.col("last"))
+    added = windows.withColumn("residual", residual).select("key", F.explode(with_last_added(F.col("residual"), F.col("last"))).alias("added"))
+    waits = patience(F.lit(5), F.lit(48), F.lit(True)).alias("waits")
+    return rounded(added.groupBy("key").agg(F.avg("added").alias("mean")).select("key", "mean", waits))

@@ -14,14 +14,11 @@ def hour_range(events: DataFrame, ts: str = "ts") -> tuple[str, int]:
     return (str(first), 24 * ((last - first).days + 1)) if first is not None else ("1970-01-01", 0)
 
 
-def _hourly(events: DataFrame, key: str, start: str | None, hours: int | None, *aggregates: Column) -> tuple[DataFrame, int]:
-    """``key, h`` and the aggregates of each hour that has events, and the number of hours."""
+def _hours_of(events: DataFrame, key: str, start: str, *aggregates: Column) -> DataFrame:
+    """``key, h`` and the aggregates of each hour from ``start`` that has events."""
     events = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull())
-    if start is None or hours is None:
-        start, hours = hour_range(events)
     hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / 3600)
-    seen = events.select(F.col(key).cast("string").alias("key"), hour.alias("h"), "value").where(F.col("h").between(0, hours - 1))
-    return seen.groupBy("key", "h").agg(*aggregates), hours
+    return events.select(F.col(key).cast("string").alias("key"), hour.alias("h"), "value").groupBy("key", "h").agg(*aggregates)
 
 
 def hourly_panel(events: DataFrame, key: str = "event_type", start: str | None = None, hours: int | None = None) -> DataFrame:
@@ -29,20 +26,33 @@ def hourly_panel(events: DataFrame, key: str = "event_type", start: str | None =
 
     Without ``start`` and ``hours`` all days that have events are covered; with them, events outside are left out.
     """
-    seen, hours = _hourly(events, key, start, hours, F.sum("value").alias("q"), F.count("*").alias("n"))
+    if start is None or hours is None:
+        start, hours = hour_range(events.where(F.col(key).isNotNull()))
+    seen = _hours_of(events, key, start, F.sum("value").alias("q"), F.count("*").alias("n")).where(F.col("h").between(0, hours - 1))
     every = F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long")) if hours else F.array().cast("array<bigint>")
     grid = seen.select("key").distinct().select("key", F.explode(every).alias("h"))
     return grid.join(seen, ["key", "h"], "left").select("key", "h", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def hourly_series(events: DataFrame, key: str = "event_type", start: str | None = None, hours: int | None = None) -> DataFrame:
-    """``key, s``: the values ``q`` of the panel as one array a key, without a grid: gaps between hours become zeros."""
-    seen, hours = _hourly(events, key, start, hours, F.sum("value").alias("q"))
+    """``key, s``: the values ``q`` of the panel as one array a key, without a grid: gaps between hours become zeros.
+
+    Without ``start`` and ``hours`` the days come from the gathered hours themselves, within the plan, so events are read once.
+    """
+    given = start is not None and hours is not None
+    seen = _hours_of(events, key, start if given else "1970-01-01", F.sum("value").alias("q"))
+    seen = seen.where(F.col("h").between(0, hours - 1)) if given else seen
     points = seen.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("h", "q"))).alias("p"))  # at most ``hours`` of them
+    if given:
+        placed = points.select("*", F.lit(0).cast("long").alias("from"), F.lit(hours).cast("long").alias("to"))
+    else:
+        first, last = F.min(F.col("p")[0]["h"]), F.max(F.element_at("p", -1)["h"])
+        days = points.agg((F.floor(first / 24) * 24).alias("from"), (F.floor(last / 24) * 24 + 24).alias("to"))
+        placed = points.crossJoin(F.broadcast(days))  # one row
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    later = F.concat(F.transform(F.slice("p", 2, F.size("p")), lambda x: x["h"]), F.array(F.lit(hours).cast("long")))
+    later = F.concat(F.transform(F.slice("p", 2, F.size("p")), lambda x: x["h"]), F.array(F.col("to")))
     filled = F.zip_with("p", later, lambda x, after: F.concat(F.array(F.coalesce(x["q"], F.lit(0.0))), zeros(after - x["h"] - 1)))
-    return points.select("key", F.concat(zeros(F.col("p")[0]["h"]), F.flatten(filled)).alias("s"))
+    return placed.select("key", F.concat(zeros(F.col("p")[0]["h"] - F.col("from")), F.flatten(filled)).alias("s"))
 
 
 def cut_windows(panel: DataFrame, history: int = HISTORY, ahead: int = AHEAD, stride: int = 24) -> DataFrame:
