@@ -29,6 +29,20 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+#: Sets of shingles as texts, pairs by a join on them, components by closure.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (m + n - c)),
+b AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, b.b FROM r JOIN b ON b.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, component_id = s.doc_id AS kept FROM s JOIN c ON c.x = s.doc_id
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -46,6 +60,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Windows by their hashes; a word goes if a window that starts at most 49 words before it also starts in an earlier document.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM v),
+m AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+g AS (SELECT doc_id, i FROM h JOIN m USING (h) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+c AS (SELECT t.doc_id, k, word, count(g.i) OVER (PARTITION BY t.doc_id ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.k),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     write_archive(_read(spark, sf_dir, "pages"), path)
@@ -150,6 +178,18 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+#: All pairs; few enough on the small tables.
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, codebooks = compress(_read(spark, sf_dir, "embeddings"))
     errors = codes.groupBy(F.col("label").alias("of")).agg(F.expr("try_cast(sum(cast(error AS decimal(38, 0))) AS bigint)").alias("label_error"))
@@ -158,4 +198,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_warc_archive, op7_sharding, op8_best_fit_packing, op9_lm_scores, op10_url_filters, op11_source_divergence, op12_embedding_near_dedup, op13_vector_codes)}
-ORACLE_SQL: dict[str, str] = {"op6_warc_archive": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc_archive": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_embedding_near_dedup": OP12_SQL}
