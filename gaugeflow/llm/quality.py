@@ -172,17 +172,20 @@ def minimum_covariance_determinants(cells: DataFrame, scratch: Scratch, coverage
     for k in range(2):
         found = scratch.table(_concentrated(cells, hint(found), coverage), f"estimates-{k}")
     found = scratch.table(_least(found), "estimates-least")
-    done = None
+    names = []
     for k in range(2, most_steps):
         after = _concentrated(cells, hint(found), coverage).withColumn("start", F.lit(1))
-        step = scratch.table(_least(found.unionByName(after)), f"estimates-{k}")
-        lower = step.join(found.select("grp", F.col("det").alias("was")), "grp").where("det < was").select("grp")
-        settled = step.join(lower, "grp", "left_anti")  # these leave the loop
-        done = settled if done is None else done.unionByName(settled)
-        found = scratch.table(step.join(lower, "grp", "left_semi"), f"open-{k}")
+        was = found.select("grp", F.col("det").alias("was"))
+        step = _least(found.unionByName(after)).join(was, "grp").withColumn("open", F.col("det") < F.col("was")).drop("was")
+        names.append(f"estimates-{k}")
+        step = scratch.table(step, names[-1])
+        found = step.where("open").drop("open")  # settled groups leave the loop
         if found.isEmpty():
             break
-    return found if done is None else done.unionByName(found)
+    if not names:
+        return found
+    settled = scratch.spark.read.schema(step.schema).parquet(*map(scratch.path, names)).where("not open").drop("open")
+    return settled.unionByName(found)
 
 
 def outlier_distances(stats: DataFrame, coverage: float = 0.75, min_group: int = 100, group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
