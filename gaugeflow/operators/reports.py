@@ -148,20 +148,21 @@ def normalizer_differences(a: DataFrame, b: DataFrame, tolerance: float = 1e-6)
     return both.where(~F.coalesce(near("mean", "m") & near("std", "s"), F.lit(False))).select("key")
 
 
-def comparison(runs: DataFrame, rank_by: str, histories: DataFrame | None = None) -> DataFrame:
+def comparison(runs: DataFrame, rank_by: str, histories: DataFrame | None = None, id_col: str = "run") -> DataFrame:
     """``place, run, median_nse, median_kge, gap, verdict, gradient_norm`` and the ranking figure as ``ranked``: all finished runs on
     one board, best first by ``rank_by``; runs without it come last, equal ones by name.
 
-    ``histories`` (``run, grad_norm``) gives each run's mean gradient norm over the epochs that have one.
+    ``histories`` (``run, grad_norm``) gives each run's mean gradient norm over the epochs that have one. Where runs may share a
+    name, ``id_col`` tells them apart in both tables, and runs that are equal otherwise are placed by it.
     """
     done = runs.where("state = 'done'")
     gap = F.col("dev") - F.col("sanval")
-    board = done.select("run", F.col("dev").alias("median_nse"), F.col("kge").alias("median_kge"), gap.alias("gap"), generalisation(gap).alias("verdict"), F.col(rank_by).alias("ranked"))
-    norms = done.select("run").limit(0).withColumn("gradient_norm", F.lit(None).cast("double"))
+    board = done.select(F.col(id_col).alias("_id"), "run", F.col("dev").alias("median_nse"), F.col("kge").alias("median_kge"), gap.alias("gap"), generalisation(gap).alias("verdict"), F.col(rank_by).alias("ranked"))
+    norms = done.select(F.col(id_col).alias("_id")).limit(0).withColumn("gradient_norm", F.lit(None).cast("double"))
     if histories is not None:
-        norms = histories.where(~F.isnan("grad_norm")).groupBy("run").agg(F.avg("grad_norm").alias("gradient_norm"))
-    place = F.row_number().over(Window.orderBy(F.col("ranked").desc_nulls_last(), "run")).cast("long")
-    return board.join(norms, "run", "left").select(place.alias("place"), "*")
+        norms = histories.where(~F.isnan("grad_norm")).groupBy(F.col(id_col).alias("_id")).agg(F.avg("grad_norm").alias("gradient_norm"))
+    place = F.row_number().over(Window.orderBy(F.col("ranked").desc_nulls_last(), "run", "_id")).cast("long")
+    return board.join(norms, "_id", "left").select(place.alias("place"), "*").drop("_id")
 
 
 def seed_points(runs: DataFrame, splits: tuple[str, ...] = ("dev", "test")) -> DataFrame:
