@@ -77,10 +77,9 @@ def seed_noise(spark, sf_dir):
 
 @query(RUNS + " SELECT run, round(dev, 6) AS dev, round(test, 6) AS test, round(test - dev, 6) AS change FROM runs WHERE state = 'done' AND dev IS NOT NULL AND test IS NOT NULL")
 def dev_against_test(spark, sf_dir):
-    """The runs that have both read-outs."""
-    runs = _runs(spark, sf_dir)
-    dev, test = (reports.finished(runs, m).select("run", m) for m in ("dev", "test"))
-    return rounded(dev.join(test, "run").select("run", "dev", "test", (F.col("test") - F.col("dev")).alias("change")))
+    """The runs that have both read-outs; names are cut to four digits, so runs may share one, and each is a row of its own."""
+    both = reports.finished(reports.finished(_runs(spark, sf_dir), "dev"), "test")
+    return rounded(both.select("run", "dev", "test", (F.col("test") - F.col("dev")).alias("change")))
 
 
 @query(RUNS + ", d AS (SELECT * FROM runs WHERE state = 'done' AND dev IS NOT NULL) SELECT max_by(run, dev) AS best, round(max(dev) - max(dev) FILTER (run = 'exp_0001'), 6) AS delta FROM d")
