@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import configs, decisions, folds, scorer, splits
-from gaugeflow.plans.boards import DONE, RUN, RUNS, _BOARD, _runs
+from gaugeflow.plans.boards import DONE, RUN, RUNS, _BOARD
 from gaugeflow.plans.catalogue import PANEL, _table, _user_windows, _windows, query, rounded
 from gaugeflow.session import Scratch
 from gaugeflow.sources.arrays import read_npz, write_npz
@@ -43,14 +43,16 @@ def resumable_days(spark, sf_dir):
 def watched_board(spark, sf_dir):
     """Summaries of runs written to their folders, followed by a stream that publishes the board."""
     scratch = Scratch(spark, "watched-board")
-    done = _runs(spark, sf_dir).where("state = 'done'").select("run", F.col("dev").alias("dev_median_nse"))
+    # runs may share a name, so a folder's has the key behind a dot, which sorts before all that a name goes on with
+    runs = _table(spark, sf_dir, "supplier").selectExpr(*(f"{RUN[n]} AS {n}" for n in ("run", "state", "dev")), "s_suppkey").where("state = 'done'")
+    done = runs.select(F.concat("run", F.lit("."), "s_suppkey").alias("run"), F.col("dev").alias("dev_median_nse"))
     folders, out = scratch.path("runs"), scratch.path("board")
     text = F.to_json(F.struct("dev_median_nse")).alias("value")
     done.select("run", text).repartition("run").write.partitionBy("run").text(folders)
     found = watch.watch_board(spark, folders, out, 0.5, every=None, files="part-*")
     found.awaitTermination()
     board = watch.current_board(spark, out)
-    return rounded(board.withColumn("run", F.regexp_replace("run", "^run=", "")))
+    return rounded(board.withColumn("run", F.regexp_replace("run", r"^run=|\.\d+$", "")))
 
 
 @query(
