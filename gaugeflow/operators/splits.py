@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.graph import connected_components
-from gaugeflow.operators.ranks import dense_labels, running
+from gaugeflow.operators.ranks import running
 from gaugeflow.session import Scratch
 
 
@@ -48,9 +48,14 @@ def assign_components(rows: DataFrame, fraction: float, seed: int = 42) -> DataF
     Sizes ascend, so once one is too large all later ones are, and a running sum decides; it runs over ranges of the sizes, so
     no task has to hold a key's components.
     """
-    scratch = Scratch(rows.sparkSession, "assign-components")
+    return assign_sizes(rows.groupBy("key", "component").agg(F.count("*").alias("size")), fraction, seed)
+
+
+def assign_sizes(sizes: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """``assign_components`` from ``key, component, size``, a row each."""
+    scratch = Scratch(sizes.sparkSession, "assign-components")
     jitter = F.md5(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")))
-    sizes = scratch.table(rows.groupBy("key", "component").agg(F.count("*").alias("size")).withColumn("jitter", jitter), "sizes")
+    sizes = scratch.table(sizes.withColumn("jitter", jitter), "sizes")
     whole = sizes.groupBy(F.col("key").alias("of")).agg(F.sum("size").alias("total"), F.min(F.struct("size", "component")).alias("least"))
     placed = running(sizes, ["key"], ["size", "jitter", "component"], ["size"]).join(whole, F.col("key").eqNullSafe(F.col("of")))
     target, cap = F.bround(F.col("total") * fraction), F.floor(F.col("total") * min(0.5, 2 * fraction))
@@ -76,7 +81,7 @@ def seen_flags(grams_in: DataFrame, grams_x: DataFrame, grams_y: DataFrame, thre
     on = ["key", "h", "g"] if same_key else ["h", "g"]
     known = grams_in.withColumn("h", F.xxhash64("g")).select(*on).distinct()
     each = grams_x.withColumn("part", F.lit("x")).unionByName(grams_y.withColumn("part", F.lit("y"))).withColumn("h", F.xxhash64("g"))
-    hit = each.join(known.withColumn("known", F.lit(1)), on, "left").groupBy("key", "origin")
+    hit = each.join(known.withColumn("known", F.lit(1)).hint("merge"), on, "left").groupBy("key", "origin")
     count = lambda part: F.count_if((F.col("part") == part) & F.col("known").isNotNull())
     return hit.agg((count("x") >= threshold).alias("input_seen"), (count("y") >= threshold).alias("target_seen"))
 
@@ -94,10 +99,24 @@ def grams(windows: DataFrame, column: str = "x", n: int = 6, least_distinct: int
     return each.where(F.size(F.array_distinct("g")) >= least_distinct)
 
 
+def _runs(windows: DataFrame, column: str, n: int, least_distinct: int, *others: str) -> DataFrame:
+    """``key, origin``, ``others``, ``g`` and its hash ``h`` with the key: the runs of ``grams``, repeated where a window repeats them."""
+    plain = windows.where(F.size(column) >= n).select("key", "origin", *others, F.transform(column, lambda v: v + 0.0).alias("_x"))
+    each = plain.select("key", "origin", *others, "_x", F.explode(F.sequence(F.lit(1), F.size("_x") - n + 1)).alias("_i"))
+    each = each.select("key", "origin", *others, F.slice("_x", F.col("_i"), n).alias("g")).where(F.size(F.array_distinct("g")) >= least_distinct)
+    return each.withColumn("h", F.xxhash64("key", "g"))
+
+
+def _over_equal_runs(value: Column) -> Column:
+    """An aggregate over all rows with the same run of a key. Runs are dealt once and nothing is broadcast: what an array explodes
+    to is larger than the planner takes it for."""
+    return value.over(Window.partitionBy("h", "key", "g"))
+
+
 def leaked_windows(grams_in: DataFrame, grams_out: DataFrame, threshold: int = 3) -> DataFrame:
     """``key, origin, n_shared, leaked``: windows held out, and how many of their runs some training window of the key has."""
     seen = grams_in.select("key", F.xxhash64("g").alias("h"), "g").distinct()
-    shared = grams_out.withColumn("h", F.xxhash64("g")).join(seen, ["key", "h", "g"], "left_semi").groupBy("key", "origin").agg(F.count("*").alias("n_shared"))
+    shared = grams_out.withColumn("h", F.xxhash64("g")).join(seen.hint("merge"), ["key", "h", "g"], "left_semi").groupBy("key", "origin").agg(F.count("*").alias("n_shared"))
     every = grams_out.select("key", "origin").distinct().join(shared, ["key", "origin"], "left")
     n = F.coalesce("n_shared", F.lit(0))
     return every.select("key", "origin", n.alias("n_shared"), (n >= threshold).alias("leaked"))
@@ -109,13 +128,12 @@ def overlap_components(windows: DataFrame, column: str = "x", n: int = 6) -> Dat
 
     Windows are told apart by key and origin themselves and runs by their values, never by hashes alone.
     """
-    node = F.struct("key", "origin")
-    runs = grams(windows, column, n, least_distinct=2).select("key", F.xxhash64("g").alias("h"), "g", node.alias("node"))
-    first = runs.groupBy("key", "h", "g").agg(F.min("node").alias("a"))
-    edges = runs.join(first, ["key", "h", "g"]).select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    found = connected_components(edges).select(F.col("node").alias("of"), "component")
-    joined = windows.select("key", "origin").distinct().join(found, (F.col("of.key") == F.col("key")) & (F.col("of.origin") == F.col("origin")), "left")
-    return joined.select("key", "origin", F.coalesce("component.origin", "origin").alias("component"))
+    runs = _runs(windows, column, n, 2).withColumn("first", _over_equal_runs(F.min("origin")))
+    ends = runs.where("first <> origin").select("key", "first", "origin").distinct()
+    edges = ends.select(F.struct("key", F.col("first").alias("origin")).alias("a"), F.struct("key", "origin").alias("b"))
+    found = connected_components(edges).select("node.key", "node.origin", F.col("component.origin").alias("component"))
+    joined = windows.select("key", "origin").distinct().join(found.hint("merge"), ["key", "origin"], "left")
+    return joined.select("key", "origin", F.coalesce("component", "origin").alias("component"))
 
 
 def build_split(windows: DataFrame, fraction: float = 0.12, seed: int = 42, mode: str = "component", column: str = "x") -> DataFrame:
@@ -132,10 +150,13 @@ def build_split(windows: DataFrame, fraction: float = 0.12, seed: int = 42, mode
     if mode != "component":
         raise ValueError(f"mode is component or basin, not {mode}")
     components = scratch.table(overlap_components(windows, column), "components")
-    labels = dense_labels(components, ["key"], "component", "origin")
-    labelled = scratch.table(components.join(labels, ["key", "component"]).select("key", "origin", "label"), "labels")
-    sides = assign_components(labelled.select("key", F.col("label").alias("component")), fraction, seed).withColumnRenamed("component", "label")
-    return labelled.join(sides, ["key", "label"]).select("key", "origin", "label", "size", "held_out")
+    # a component is named by its first origin, so labels and sides are made of one row a component
+    sizes = components.groupBy("key", "component").agg(F.count("*").alias("size"))
+    labelled = running(sizes, ["key"], ["component"]).select("key", "component", "size", (F.col("rank") - 1).alias("label"))
+    labelled = scratch.table(labelled, "labels")
+    sides = assign_sizes(labelled.select("key", F.col("label").alias("component"), "size"), fraction, seed)
+    sides = sides.select("key", F.col("component").alias("label"), "held_out").hint("merge")
+    return components.join(labelled.join(sides, ["key", "label"]).hint("merge"), ["key", "component"]).select("key", "origin", "label", "size", "held_out")
 
 
 def split_report(windows: DataFrame, split: DataFrame, column: str = "x", fail: bool = False) -> DataFrame:
@@ -143,9 +164,9 @@ def split_report(windows: DataFrame, split: DataFrame, column: str = "x", fail:
 
     ``n_leaked`` counts held-out windows that share a run with the key's other side; with ``fail`` any raises an error.
     """
-    sides = grams(windows, column, least_distinct=2).join(split.select("key", "origin", "held_out"), ["key", "origin"])
-    leaks = leaked_windows(sides.where("not held_out"), sides.where("held_out"), threshold=1)
-    leaks = leaks.where("leaked").groupBy("key").agg(F.count("*").alias("n_leaked"))
+    sides = windows.join(split.select("key", "origin", "held_out").hint("merge"), ["key", "origin"])
+    shared = _runs(sides, column, 6, 2, "held_out").withColumn("known", _over_equal_runs(F.bool_or(~F.col("held_out"))))
+    leaks = shared.where("held_out and known").select("key", "origin").distinct().groupBy("key").agg(F.count("*").alias("n_leaked"))
     counted = split.groupBy("key").agg(
         F.count("*").alias("n_windows"), F.countDistinct("label").alias("n_components"), F.max("size").alias("largest"),
         F.count_if("held_out").alias("n_held"), (F.count_if("held_out") / F.count("*")).alias("share"),

@@ -82,3 +82,22 @@ def test_a_leak_is_counted_and_raised(spark):
     assert splits.split_report(table, bad).first()["n_leaked"] == 1
     with pytest.raises(Exception, match="windows leak: a"):
         splits.split_report(table, bad, fail=True).collect()
+
+
+def test_runs_are_dealt_without_broadcasts(spark):
+    """What runs explode to is far larger than the planner takes it for, so it must not be broadcast through the driver."""
+    table = windows(spark, [*chained("a", 0), *chained("b", 0)])
+    split = spark.createDataFrame([("a", 5, 0, 2, True)], "key string, origin long, label long, size long, held_out boolean")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    report = plan(splits.split_report(table, split))
+    assert report.count("Generate explode") == 1 and "SortMergeJoin [key" in report
+    flags = plan(splits.leaked_windows(splits.grams(table.where("origin < 9")), splits.grams(table.where("origin > 7"))))
+    assert "SortMergeJoin [key" in flags and ", LeftSemi, BuildRight" not in flags
+
+
+def test_short_series_have_no_windows(spark):
+    from gaugeflow.sources.panel import series_windows
+
+    rows = spark.createDataFrame([("short", [1.0] * 5), ("long", [float(i) for i in range(12)]), ("none", None)], "key string, s array<double>")
+    got = sorted((r.key, r.origin, r.x, r.y) for r in series_windows(rows, 4, 2, 3).collect())
+    assert got == [("long", o, [float(i) for i in range(o - 3, o + 1)], [float(o + 1), float(o + 2)]) for o in (3, 6, 9)]
