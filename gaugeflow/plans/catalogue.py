@@ -248,7 +248,8 @@ def _user_windows(spark, sf_dir) -> DataFrame:
 @query(_SPLIT + "SELECT * FROM sp")
 def split_labels(spark, sf_dir):
     """The split builder: overlapping windows, dense labels, packing."""
-    return splits.build_split(_user_windows(spark, sf_dir))
+    windows = Scratch(spark, "split-labels").table(_user_windows(spark, sf_dir), "windows")
+    return splits.build_split(windows)
 
 
 @query(
