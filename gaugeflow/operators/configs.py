@@ -12,6 +12,7 @@ than 18 digits a fraction of zeros is not told apart.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Sequence
 
@@ -37,7 +38,8 @@ def json_string(text: Column) -> Column:
         return out.when((code >= 32) & (code <= 126), c).when(code < 0x10000, u(code)).otherwise(pair)
 
     characters = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
-    return F.concat(F.lit('"'), F.array_join(F.transform(characters, escaped), ""), F.lit('"'))
+    plain = text.rlike(r"\A[ !#-\[\]-~]*\z")  # nothing to escape
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(characters, escaped), "")), F.lit('"'))
 
 
 def float_text(x: Column) -> Column:
@@ -64,25 +66,25 @@ def _scalar_text(v: Column) -> Column:
     return F.when(kind == "STRING", json_string(F.try_variant_get(v, "$", "string"))).when(real, float_text(F.try_variant_get(v, "$", "double"))).otherwise(text)
 
 
-def open_paths(rows: DataFrame) -> DataFrame:
+def open_paths(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Rows with ``path`` and VARIANT ``v`` opened to scalars and their canonical ``text``; empty objects and lists are values
     too. A step is ``k`` and a key, or ``i`` and a place in a list.
 
-    A level is opened at a time, as deep as the data go. Nothing is written in between, since writing VARIANT may turn
-    integers into decimals.
+    A level is opened at a time, as deep as the data go; rows that are scalars already pass through, so all levels are one pass.
+    Nothing is written in between, since writing VARIANT may turn integers into decimals. ``most`` bounds the depth, where it
+    is known, so that the last level need not be looked at.
     """
-    done, others = None, [c for c in rows.columns if c not in ("path", "v")]
-    while True:
+    others = [c for c in rows.columns if c not in ("path", "v")]
+    for level in itertools.count():
         kind = F.schema_of_variant("v")
         open_ = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (F.to_json("v") != "[]"))
-        closed = rows.where(~open_).select(*others, "path", _scalar_text(F.col("v")).alias("text"))
-        done = closed if done is None else done.unionByName(closed)
-        inner = rows.where(open_)
-        if inner.isEmpty():
-            return done
-        parts = inner.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        if level == most or rows.where(open_).isEmpty():
+            return rows.select(*others, "path", _scalar_text(F.col("v")).alias("text"))
+        marked = rows.withColumn("_open", F.when(open_, F.col("v")))
+        parts = marked.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()))
         step = F.when(F.col("key").isNotNull(), F.concat(F.lit("k"), "key")).otherwise(F.concat(F.lit("i"), F.lpad(F.col("pos").cast("string"), 10, "0")))
-        rows = parts.select(*others, F.array_append("path", step).alias("path"), F.col("value").alias("v"))
+        opened = F.col("_open").isNotNull()
+        rows = parts.select(*others, F.when(opened, F.array_append("path", step)).otherwise(F.col("path")).alias("path"), F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v"))
 
 
 def _above(rows: DataFrame, *columns: str) -> DataFrame:
@@ -97,11 +99,16 @@ def merged_paths(layers: DataFrame) -> DataFrame:
     Of layers with equal priority the one with the greater text is the later.
     """
     scratch = Scratch(layers.sparkSession, "merge-configs")
-    parsed = layers.select("id", F.struct("priority", "config").alias("turn"), F.try_parse_json(F.col("config")).alias("v"))
+    # layers in order are numbered, so a turn is a number: rows of an id lie together and their maxima are taken before the shuffle
+    ordered = layers.select("id", "priority", "config").orderBy("id", "priority", "config")
+    ordered = scratch.table(ordered.select("id", "config", F.monotonically_increasing_id().alias("turn")), "layers")
+    brackets = F.length("config") - F.length(F.translate("config", "{[", ""))  # no text is deeper than it has of them
+    deepest = ordered.agg(F.max(brackets)).first()[0] or 0
+    parsed = ordered.select("id", "turn", F.try_parse_json(F.col("config")).alias("v"))
     parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT<")).withColumn("path", F.array().cast("array<string>"))
     whole = F.coalesce(F.array_position(F.transform("path", lambda x: x.startswith("i")), True), F.lit(0))  # the first step into a list
     at_path = F.when(whole > 0, F.slice("path", F.lit(1), whole.cast("int") - 1)).otherwise(F.col("path"))
-    found = scratch.table(open_paths(parsed).select("id", "turn", at_path.alias("at"), F.col("path").alias("full"), "text"), "values")
+    found = scratch.table(open_paths(parsed, deepest).select("id", "turn", at_path.alias("at"), F.col("path").alias("full"), "text"), "values")
     empty = (F.col("text") == "{}") & (F.size("full") == F.size("at"))
     at = found.groupBy("id", F.col("at").alias("path")).agg(
         F.max("turn").alias("top"), F.max(F.when(~empty, F.col("turn"))).alias("value_top"), F.max_by(empty, "turn").alias("empty")

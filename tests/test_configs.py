@@ -76,3 +76,16 @@ def test_content_keys_ignore_other_fields_and_defaults(spark):
     assert key(trials=100, noise=0.05, n_high=3, edge="anchor")["key"] == plain["key"]
     assert key(trials=100, noise=0.05, edge="mirror")["key"] != plain["key"] != key(trials=50, noise=0.05)["key"]
     assert merge_configs(spark.createDataFrame([], LAYERS)).count() == 0
+
+
+def test_levels_are_one_pass_and_equal_layers_count_once(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeflow.operators.configs import merge_configs, open_paths
+
+    rows = spark.createDataFrame([('{"a": {"b": [1, {"c": "x\\n"}], "d": {}}, "e": "y\\"z"}',)], "config string")
+    opened = open_paths(rows.select(F.try_parse_json(F.col("config")).alias("v"), F.array().cast("array<string>").alias("path")))
+    assert "Union" not in opened._jdf.queryExecution().optimizedPlan().toString()  # a union would parse the texts again for each level
+    assert opened.count() == 4
+    layers = spark.createDataFrame([(1, 5, '{"l": [1, 2]}'), (1, 5, '{"l": [1, 2]}'), (1, 4, '{"l": [3], "m": "{[{["}')], "id long, priority long, config string")
+    assert merge_configs(layers).first()["config"] == '{"l": [1, 2], "m": "{[{["}'
