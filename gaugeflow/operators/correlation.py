@@ -1,57 +1,68 @@
 """Correlations among many series as blocked matrix products: hours are never joined, series are never paired one by one.
 
 Every series is centred and scaled to length one, so a correlation is a dot product. Series are dealt to blocks by hash, hours
-to chunks; a task multiplies two blocks over one chunk and the chunks' products are added.
+to chunks, and written once to the shared folder. A task has one block, reads those it is paired with one after the other and
+multiplies chunk by chunk, so what is shuffled and written grows with the series; only the rows of the result are pairs.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.metrics import EPS
-
-PART = "left long, right long, a array<string>, b array<string>, m binary"
+from gaugeflow.session import Scratch
+from gaugeflow.sources.two_phase import opened
 
 
 def _unit(series: DataFrame) -> DataFrame:
     """``key, n, u, energy``: the series less its mean over its length, zeros if it does not vary, and its deviation."""
     mean = F.try_divide(F.aggregate("s", F.lit(0.0), lambda a, v: a + v), F.size("s"))
-    known = series.select(F.col("key").cast("string").alias("key"), "s", F.size("s").alias("n"), mean.alias("mean"))
-    centred = known.select("key", "n", F.transform("s", lambda v: v - F.col("mean")).alias("c"))
+    # the mean comes as an array's only element: as a column it is put into the lambda and reckoned anew for every value
+    less = F.transform(F.array(mean), lambda m: F.transform("s", lambda v: v - m))[0]
+    centred = series.select(F.col("key").cast("string").alias("key"), F.size("s").alias("n"), less.alias("c"))
     length = centred.select("*", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v)).alias("length"))
     deviation = F.col("length") / F.sqrt("n")
     unit = F.transform("c", lambda v: F.when(deviation <= EPS, 0.0).otherwise(F.try_divide(v, F.col("length"))))
     return length.select("key", "n", unit.alias("u"), deviation.alias("deviation"))
 
 
-def _multiply(key, table):
-    import pyarrow as pa
+def _multiplied(path: str, chunks: int):
+    """The correlations of each pair of blocks; the task reads both from the shared folder, a chunk at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
 
-    left, right = key[0].as_py(), key[1].as_py()
-    table = table.sort_by("key").combine_chunks()
-    side = table.column("side").to_numpy()
-    values = table.column("u").combine_chunks()
-    rows = values.flatten().to_numpy().reshape(len(side), -1)
-    of = [np.flatnonzero(side == s) for s in (left, right)]
-    product = rows[of[0]] @ rows[of[1]].T
-    names = [[table.column("key").take(pa.array(o)).to_pylist()] for o in of]
-    kind = pa.list_(pa.string())
-    return pa.table([pa.array([left]), pa.array([right]), pa.array(names[0], kind), pa.array(names[1], kind), pa.array([product.tobytes()], pa.binary())], names=["left", "right", "a", "b", "m"])
+        system, at = opened(path)
 
+        @lru_cache(maxsize=1)
+        def own(chunk, side):
+            return read(chunk, side)
 
-def _together(key, table):
-    import pyarrow as pa
+        def read(chunk, side):
+            table = pq.read_table(f"{at}/chunk={chunk}/side={side}", columns=["key", "u"], filesystem=system).sort_by("key").combine_chunks()
+            values = table.column("u").combine_chunks()
+            return table.column("key").combine_chunks(), values.flatten().to_numpy().reshape(len(values), -1)
 
-    total = sum(np.frombuffer(m.as_buffer(), np.float64) for m in table.column("m"))
-    a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-    total = np.clip(total.reshape(len(a), len(b)), -1.0, 1.0)
-    keep = np.array([[x < y for y in b] for x in a]) if key[0].as_py() == key[1].as_py() else np.ones(total.shape, bool)
-    i, j = np.nonzero(keep)
-    swap = [a[x] > b[y] for x, y in zip(i, j, strict=True)]
-    ends = [(b[y], a[x]) if s else (a[x], b[y]) for x, y, s in zip(i, j, swap, strict=True)]
-    return pa.table([pa.array([e[0] for e in ends], pa.string()), pa.array([e[1] for e in ends], pa.string()), pa.array(total[i, j])], names=["a", "b", "corr"])
+        for batch in batches:
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                total = 0.0
+                for chunk in range(chunks):
+                    (a, x), (b, y) = own(chunk, left), read(chunk, right) if left != right else own(chunk, left)
+                    total = total + x @ y.T
+                i, j = np.indices(total.shape)
+                before = i < np.searchsorted(a.to_numpy(False), b.to_numpy(False))  # keys in order, so the first so many of a are less
+                keep = before if left == right else np.ones(total.shape, bool)
+                i, j, before = i[keep], j[keep] + len(a), before[keep]
+                names = pa.concat_arrays([a, b])
+                ends = [names.take(pa.array(np.where(before, k, m))) for k, m in ((i, j), (j, i))]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(np.clip(total[keep], -1.0, 1.0))], names=["a", "b", "corr"])
+
+    return run
 
 
 def correlations(series: DataFrame, block: int = 256, chunk: int = 4096) -> DataFrame:
@@ -59,17 +70,24 @@ def correlations(series: DataFrame, block: int = 256, chunk: int = 4096) -> Data
 
     All series have to be of one length, without nulls; otherwise an error is raised. Keys are not repeated.
     """
-    unit = _unit(series)
+    spark = series.sparkSession
+    scratch = Scratch(spark, "correlations")
+    unit = scratch.table(_unit(series), "unit")
     n, length, other = unit.agg(F.count("*"), F.max("n"), F.min("n")).first()
     if n and length != other:
         raise ValueError(f"series of {other} to {length} values")
     blocks, chunks = -(-n // block) or 1, -(-(length or 0) // chunk) or 1
-    side, of_blocks = F.pmod(F.xxhash64("key"), F.lit(blocks)), F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    placed = unit.select("key", "u", side.alias("side"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    placed = placed.select("key", F.slice("u", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("u"), "side", "chunk", F.explode(of_blocks).alias("other"))
-    dealt = placed.select(F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "chunk", "side", "key", "u")
-    parts = dealt.groupBy("left", "right", "chunk").applyInArrow(_multiply, PART)
-    return parts.groupBy("left", "right").applyInArrow(_together, "a string, b string, corr double")
+    placed = unit.select("key", "u", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    placed = placed.select("key", F.slice("u", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("u"), "chunk", "side")
+    path = scratch.path("blocks")
+    placed.repartition("chunk", "side").write.partitionBy("chunk", "side").option("compression", "zstd").parquet(path)
+    scratch.drop("unit")
+    sides = spark.read.schema(placed.schema).parquet(path).select("side").distinct()  # a row a block, as all tables from here on
+    left = spark.range(0, blocks, 1, blocks).toDF("left").join(F.broadcast(sides.toDF("left")), "left")
+    # blocks lie on a circle and each takes those less than half of it ahead, so every task has as many
+    ahead, behind = F.pmod(F.col("right") - F.col("left"), F.lit(blocks)), F.pmod(F.col("left") - F.col("right"), F.lit(blocks))
+    pairs = left.join(F.broadcast(sides.toDF("right")), (ahead < behind) | ((ahead == behind) & (F.col("left") <= F.col("right"))))
+    return pairs.mapInArrow(_multiplied(path, chunks), "a string, b string, corr double")
 
 
 def energy_shares(series: DataFrame, target: str, top: int = 2) -> DataFrame:

@@ -43,3 +43,21 @@ def test_energy_shares(spark):
     best = sorted(weight, key=lambda k: -weight[k])[:2]
     assert {k: got[k]["rank"] for k in weight} == {k: best.index(k) + 1 if k in best else None for k in weight}
     assert [r.top_share for r in got.values()] == pytest.approx([sum(weight[k] for k in best) / total] * 4)
+
+
+def moved(spark):
+    """Rows that all stages so far have shuffled."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = context.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_series_are_not_shuffled_for_each_pair(spark):
+    rng = np.random.default_rng(3)
+    rows = series(spark, {f"k{i:03d}": rng.normal(size=12) for i in range(160)})
+    before = moved(spark)
+    found = correlations(rows, 4, 5).collect()  # 40 blocks, 3 chunks
+    assert len({(r.a, r.b) for r in found}) == len(found) == 160 * 159 // 2
+    assert moved(spark) - before < 3 * 160 * 3
