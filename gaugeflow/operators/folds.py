@@ -19,6 +19,7 @@ from gaugeflow.operators.splits import ranked_by_hash
 from gaugeflow.session import Scratch
 
 BLOCKS = "fold int, i int, j int, part int, m binary"
+HELD = 2**27  # bytes of sums that a task holds; rows of more folds than that are sorted by fold first
 
 
 @dataclass
@@ -37,12 +38,21 @@ def with_folds(windows: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     return windows.join(keys.select("key", ((F.col("rank") - 1) % folds).cast("int").alias("fold")), "key")
 
 
+def units(windows: DataFrame) -> DataFrame:
+    """``key, mean, std`` of the keys' histories; a deviation of less than 1e-6 counts as 1."""
+    norm = windows.select("key", F.explode("x").alias("q")).groupBy("key").agg(F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"))
+    return norm.withColumn("std", F.when(F.coalesce(F.col("std"), F.lit(0.0)) < 1e-6, 1.0).otherwise(F.col("std")))
+
+
+def in_units(windows: DataFrame) -> DataFrame:
+    """``windows``, which have their key's ``mean`` and ``std``, in units of the deviation around the mean."""
+    return windows.withColumns({c: F.transform(c, lambda v: (v - F.col("mean")) / F.col("std")) for c in ("x", "y")})
+
+
 def normalised(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``windows`` in units of each key's deviation around its mean, and ``key, mean, std`` of the keys' histories."""
-    norm = windows.select("key", F.explode("x").alias("q")).groupBy("key").agg(F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"))
-    norm = norm.withColumn("std", F.when(F.coalesce(F.col("std"), F.lit(0.0)) < 1e-6, 1.0).otherwise(F.col("std")))
-    scaled = lambda c: F.transform(c, lambda v: (v - F.col("mean")) / F.col("std")).alias(c)
-    return windows.join(norm, "key").select("key", "origin", *(c for c in windows.columns if c not in ("key", "origin", "x", "y")), scaled("x"), scaled("y")), norm
+    norm = units(windows)
+    return in_units(windows.join(norm, "key")).select("key", "origin", *(c for c in windows.columns if c not in ("key", "origin", "x", "y")), "x", "y"), norm
 
 
 def first_by_hash(windows: DataFrame, most: int) -> DataFrame:
@@ -67,16 +77,16 @@ def _rows(batch) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1)), y])
 
 
-def _products(size: int, block: int):
-    """Blocks of the upper triangle of the products of each fold; the rows come by fold, so one sum is held at a time."""
+def _products(size: int, block: int, most: int):
+    """Blocks of the upper triangle of the products of each fold; sums of ``most`` folds are held, then all are given out."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, fold, total = TaskContext.get().partitionId(), None, None
+        part, held = TaskContext.get().partitionId(), {}
 
-        def blocks():
+        def blocks(fold, total):
             n = -(-size // block)
             cut = [(i, j, total[i * block : (i + 1) * block, j * block : (j + 1) * block].tobytes()) for i in range(n) for j in range(i, n)]
             columns = [[fold] * len(cut), [c[0] for c in cut], [c[1] for c in cut], [part] * len(cut), [c[2] for c in cut]]
@@ -85,15 +95,13 @@ def _products(size: int, block: int):
 
         for batch in batches:
             folds = batch.column("fold").to_numpy()
-            for own in np.unique(folds):
-                if own != fold:
-                    if fold is not None:
-                        yield blocks()
-                    fold, total = int(own), np.zeros((size, size))
+            for own in np.unique(folds).tolist():
+                if own not in held and len(held) == most:
+                    yield from (blocks(*item) for item in held.items())
+                    held.clear()
                 rows = _rows(batch.take(pa.array(np.flatnonzero(folds == own))))
-                total += rows.T @ rows
-        if fold is not None:
-            yield blocks()
+                held[own] = held.get(own, 0.0) + rows.T @ rows
+        yield from (blocks(*item) for item in held.items())
 
     return run
 
@@ -140,13 +148,16 @@ def fit_folds(windows: DataFrame, lags: int, ahead: int, penalty: float, block:
     """For each fold (``fold`` of ``windows``) the model of the other folds' windows; a fold without others has none."""
     scratch = Scratch(windows.sparkSession, "ridge-folds")
     size = lags + 1 + ahead
-    rows = usable(windows, lags, ahead).select("fold", "x", "y").sortWithinPartitions("fold")
-    parts = rows.mapInArrow(_products(size, block), BLOCKS)
+    folds = [r["fold"] for r in windows.select("fold").distinct().collect()]  # a number a fold
+    most = max(1, HELD // (8 * size * size))
+    rows = usable(windows, lags, ahead).select("fold", "x", "y")
+    rows = rows if len(folds) <= most else rows.sortWithinPartitions("fold")
+    parts = rows.mapInArrow(_products(size, block, most), BLOCKS)
     for level in (F.pmod("part", F.lit(width * width)), F.pmod("part", F.lit(width)), F.lit(0)):
         parts = parts.withColumn("part", level.cast("int")).groupBy("fold", "i", "j", "part").applyInArrow(_added, BLOCKS)
     sums = scratch.table(parts, "sums")
-    folds = windows.select("fold").distinct()
-    others = sums.join(F.broadcast(folds.withColumnRenamed("fold", "of")), F.col("of") != F.col("fold"))  # a row a fold
+    of = windows.sparkSession.createDataFrame([(f,) for f in folds], "of int")
+    others = sums.join(F.broadcast(of), F.col("of") != F.col("fold"))
     others = others.select(F.col("of").alias("fold"), "i", "j", F.lit(0).alias("part"), "m").groupBy("fold", "i", "j", "part").applyInArrow(_added, BLOCKS)
 
     def one(key, table):

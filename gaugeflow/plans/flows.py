@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators import configs, decisions, folds, scorer, splits
 from gaugeflow.plans.boards import DONE, RUN, RUNS, _BOARD
-from gaugeflow.plans.catalogue import PANEL, _table, _user_windows, _windows, query, rounded
+from gaugeflow.plans.catalogue import PANEL, _table, _windows, query, rounded
 from gaugeflow.session import Scratch
 from gaugeflow.sources.arrays import read_npz, write_npz
 from gaugeflow.sources.ledger import Ledger
-from gaugeflow.sources.panel import long_targets
+from gaugeflow.sources.panel import hourly_series, long_targets, series_windows
 from gaugeflow.streaming import watch
 
 
@@ -76,30 +76,38 @@ LAGS, AHEAD, FOLDS, PENALTY = 48, 24, 5, 100.0
 
 
 def _ridge(spark, sf_dir):
-    """Users' windows in five folds by user, in units of the user, and the fold models."""
-    windows = Scratch(spark, "ridge").table(folds.with_folds(_user_windows(spark, sf_dir), FOLDS), "windows")
-    scaled, norm = folds.normalised(windows)
-    scaled = Scratch(spark, "ridge").table(scaled, "scaled")
-    return windows, scaled, norm, folds.fit_folds(scaled, LAGS, AHEAD, PENALTY)
+    """Users' windows with fold and units, the units and the fold models.
+
+    A user is one row until the windows are cut, so what is joined and written is each hour once, and a user's windows stay together.
+    """
+    scratch = Scratch(spark, "ridge")
+    cut = lambda s: series_windows(s, history=LAGS, ahead=AHEAD)
+    series = scratch.table(hourly_series(_table(spark, sf_dir, "events"), "user_id"), "series")
+    norm = scratch.table(folds.units(cut(series)), "norm")
+    dealt = series.hint("merge").join(folds.with_folds(norm, FOLDS), "key")  # series are small when packed, but not in the driver
+    windows = cut(scratch.table(dealt, "dealt"))
+    scratch.drop("series")
+    return windows, norm, folds.fit_folds(folds.in_units(windows), LAGS, AHEAD, PENALTY)
 
 
 @query("""WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events), f AS (SELECT (row_number() OVER (ORDER BY md5('42:' || key), key) - 1) % 5 AS fold FROM k)
 SELECT CAST(o.fold AS INTEGER) AS fold, 28 * count(*) AS n_fit, true AS certified FROM (SELECT DISTINCT fold FROM f) o JOIN f ON f.fold <> o.fold GROUP BY o.fold""")
 def ridge_certificate(spark, sf_dir):
     """Do the weights of every fold solve its normal equations to nine digits? Judged on the windows, not on the sums solved from."""
-    _, scaled, _, fits = _ridge(spark, sf_dir)
-    found = folds.certificate(scaled, fits, LAGS, AHEAD, PENALTY)
+    windows, _, fits = _ridge(spark, sf_dir)
+    found = folds.certificate(folds.in_units(windows), fits, LAGS, AHEAD, PENALTY)
     return found.select("fold", "n_fit", (F.col("residual") < 1e-9).alias("certified"))
 
 
 @query()
 def ridge_out_of_sample(spark, sf_dir):
     """Scores of users by models that have not seen them, in their own units; no SQL twin (linear systems are solved)."""
-    windows, scaled, norm, fits = _ridge(spark, sf_dir)
-    made = folds.with_forecast(scaled, fits).select("key", "origin", "ridge").join(norm, "key")
-    plain = made.select("key", "origin", F.transform("ridge", lambda v: v * F.col("std") + F.col("mean")).alias("pred"))
-    last = F.array_repeat(F.element_at("x", -1), AHEAD).alias("bar")
-    rows = long_targets(windows.select("key", "origin", "y", last).join(plain, ["key", "origin"]), "pred", "bar").withColumn("model", F.lit("ridge"))
+    windows, norm, fits = _ridge(spark, sf_dir)
+    beside = folds.in_units(windows.select("*", F.col("y").alias("obs"), F.element_at("x", -1).alias("last"))).drop("y")
+    made = folds.with_forecast(beside, fits)
+    plain = F.transform("ridge", lambda v: v * F.col("std") + F.col("mean")).alias("pred")
+    made = made.select("key", "origin", F.col("obs").alias("y"), plain, F.array_repeat("last", AHEAD).alias("bar"))
+    rows = long_targets(made, "pred", "bar").withColumn("model", F.lit("ridge"))
     return rounded(scorer.score_document(rows, norm, ahead=AHEAD, with_keys=False).select("model", "document.n_basins", "document.n_samples", "document.median_nse", "document.median_nse_persistence", "document.mean_nse_clip"))
 
 

@@ -65,12 +65,13 @@ def cut_windows(panel: DataFrame, history: int = HISTORY, ahead: int = AHEAD, st
 
 
 def series_windows(series: DataFrame, history: int = HISTORY, ahead: int = AHEAD, stride: int = 24) -> DataFrame:
-    """The windows of ``cut_windows`` from ``hourly_series``."""
+    """The windows of ``cut_windows`` from ``hourly_series``, with what else the series' rows have."""
+    more = [c for c in series.columns if c not in ("key", "s")]
     last = F.size("s") - ahead - 1
     # short series have no origins; a filter on the size would have the series made twice
     found = F.when(last >= history - 1, F.sequence(F.lit(history - 1), last, F.lit(stride)))
-    origins = series.select("key", "s", F.explode(found).alias("origin"))
-    return origins.select("key", F.col("origin").cast("long"), F.slice("s", F.col("origin") - history + 2, history).alias("x"), F.slice("s", F.col("origin") + 2, ahead).alias("y"))
+    origins = series.select("*", F.explode(found).alias("origin"))
+    return origins.select("key", F.col("origin").cast("long"), F.slice("s", F.col("origin") - history + 2, history).alias("x"), F.slice("s", F.col("origin") + 2, ahead).alias("y"), *more)
 
 
 def long_targets(windows: DataFrame, *columns: Column | str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Ridge models of other keys' windows against numpy, and the certificate of their normal equations."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
+from test_correlation import moved
 
 from gaugeflow.operators import folds
 from gaugeflow.operators.folds import Fit
+from gaugeflow.plans import flows
 
 LAGS, AHEAD = 7, 3
 
@@ -66,3 +70,31 @@ def test_a_capped_fit_takes_the_same_windows_every_time(spark):
     some = {(r.key, r.origin) for r in folds.first_by_hash(windows, 10).collect()}
     assert len(some) == 10 and some == {(r.key, r.origin) for r in folds.first_by_hash(windows.repartition(7), 10).collect()}
     assert folds.first_by_hash(windows, 1000).count() == len(rows)
+
+
+def test_more_folds_than_sums_are_held(spark, monkeypatch):
+    rows, windows = table(spark)
+    dealt = folds.with_folds(windows, 6).repartition(3).cache()
+    whole = folds.fit_folds(dealt, LAGS, AHEAD, 2.5)
+    monkeypatch.setattr(folds, "HELD", 1)
+    for fold, fit in folds.fit_folds(dealt, LAGS, AHEAD, 2.5).items():
+        assert fit.n == whole[fold].n and fit.weights == pytest.approx(whole[fold].weights, rel=1e-9, abs=1e-12)
+
+
+def test_windows_are_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    first, users = datetime(2024, 1, 1), 24
+    hours = {u: [0, *rng.choice(range(1, 719), 30, replace=False).tolist(), 719] for u in range(users)}
+    events = [(u, first + timedelta(hours=int(h)), float(rng.normal(u, 1))) for u in hours for h in hours[u]]
+    spark.createDataFrame(events, "user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        before = moved(spark)
+        got = flows.ridge_out_of_sample(spark, str(tmp_path)).first()
+        shuffled = moved(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert (got.n_basins, got.n_samples) == (users, 28 * users)
+    # each event twice and the users' scores at 24 lead hours, but not 28 windows for each join
+    assert shuffled < 2 * len(events) + 3 * 24 * users
