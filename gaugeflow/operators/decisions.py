@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gaugeflow.functions.series import peak_of_means
 from gaugeflow.operators.reports import early_skill
@@ -103,14 +104,18 @@ def decide(rules: DataFrame, metrics: DataFrame, kinds: dict = KINDS) -> DataFra
     return verdicts.select("rule", "n_pairs", "values", text.alias("verdict"))
 
 
+@F.udf(StringType())
+def _pair_text(seed, delta, late):
+    """Rounds the double itself, as C does; ``format_string`` rounds its shortest text, so -0.31765 would become -0.3177."""
+    return f"s{seed}: {delta:+.4f} (h25-48 {'-' if late is None else f'{late:+.4f}'})"
+
+
 def pair_texts(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     """``rule, pairs``: the rule's differences by seed, as ``s42: +0.0213 (h25-48 +0.0100)``; a dash without any."""
     own = metrics.where(F.col("metric").isin("median_nse", "h25_48")).groupBy("arm", "seed").pivot("metric", ["median_nse", "h25_48"]).agg(F.first("value"))
     side = lambda name, p: own.select(F.col("arm").alias(name), "seed", F.col("median_nse").alias(f"{p}m"), F.col("h25_48").alias(f"{p}h"))
     met = rules.select("rule", "treat", "ref").join(side("treat", "t"), "treat").join(side("ref", "r"), ["ref", "seed"]).where("tm is not null and rm is not null")
-    late = F.col("th") - F.col("rh")
-    said = F.when(late.isNull(), "-").otherwise(F.format_string("%+.4f", late))
-    text = F.concat(F.format_string("s%d: %+.4f (h25-48 ", "seed", F.col("tm") - F.col("rm")), said, F.lit(")"))
+    text = _pair_text("seed", F.col("tm") - F.col("rm"), F.col("th") - F.col("rh"))
     lines = met.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("seed", text.alias("text")))).alias("l"))  # a seed each
     joined = F.array_join(F.transform("l", lambda x: x["text"]), "  ")
     return rules.select("rule").distinct().join(lines, "rule", "left").select("rule", F.coalesce(joined, F.lit("-")).alias("pairs"))

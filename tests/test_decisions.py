@@ -40,6 +40,12 @@ def test_rules(spark):
     assert texts["adopt none-base"] == "-" and texts["adopt nolate-base"].startswith("s42: +0.1000 (h25-48 -)")
 
 
+def test_texts_round_the_double_and_not_its_text(spark):
+    runs = [run("base", s, 0.0, late=0.0) for s in (1, 2, 3)] + [run("arm", 1, -0.31765, late=0.03125), run("arm", 2, 0.09375, late=1.00005), run("arm", 3, -0.00001, late=float("nan"))]
+    _, texts = judge(spark, runs, ("adopt", "arm", "base"))
+    assert texts["adopt arm-base"] == "s1: -0.3176 (h25-48 +0.0312)  s2: +0.0938 (h25-48 +1.0001)  s3: -0.0000 (h25-48 +nan)"
+
+
 def test_which_file_of_a_run_counts(spark):
     rows = [("a", "own", [0.1], 1.0), ("a", "rescore", [0.2], 2.0), ("b", "own", None, 1.0), ("b", "rescore", None, 2.0), ("c", "own", [], 1.0), ("d", "rescore", [0.1], 2.0), ("e", "else", [0.1], 3.0)]
     got = resolved(spark.createDataFrame(rows, "run string, source string, skill_by_lead array<double>, v double"))
