@@ -1,4 +1,5 @@
 import collections
+import fractions
 import itertools
 import math
 import os
@@ -118,3 +119,15 @@ def test_comparison_and_seed_points(spark):
     assert got == [(1, "a", "higher", 1.5), (2, "a_s7", "lower", None)]
     points = sorted((r.arm, r.split, r.seed, r.n) for r in reports.seed_points(table).collect())
     assert points == [("a", "dev", 7, 2), ("a", "dev", 42, 2), ("a", "test", 42, 1)]
+
+
+def test_a_mean_norm_does_not_show_the_order_of_its_lines(spark, tmp_path):
+    rng = random.Random(3)
+    tax = [rng.randrange(9) for _ in range(128)]
+    exact = fractions.Fraction(sum(tax), 5) / 128
+    assert exact * 2 * 10**6 % 2 == 1  # a five in the seventh place
+    lines = [(key, 1.0, t / 100) for key, some in ((3, tax), (4, sorted(tax)), (25, sorted(tax)[::-1])) for t in some]
+    spark.createDataFrame(lines, "l_suppkey long, l_quantity double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 5000.0) for k in (3, 4, 25)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.gradient_norm for r in catalogue.QUERIES["comparison_board"](spark, str(tmp_path)).collect()}
+    assert got == {math.ceil(exact * 10**6) / 10**6}
