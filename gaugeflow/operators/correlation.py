@@ -1,8 +1,9 @@
 """Correlations among many series as blocked matrix products: hours are never joined, series are never paired one by one.
 
-Every series is centred and scaled to length one, so a correlation is a dot product. Series are dealt to blocks by hash, hours
-to chunks, and written once to the shared folder. A task has one block, reads those it is paired with one after the other and
-multiplies chunk by chunk, so what is shuffled and written grows with the series; only the rows of the result are pairs.
+Every series is centred and scaled to length one, so a correlation is a dot product. Series are dealt to blocks by ranges of
+their keys, hours to chunks, and written once to the shared folder. A task has one block, reads those after it one by one and
+multiplies chunk by chunk, so what is shuffled and written grows with the series; only the rows of the result are pairs. Some
+millions at a time they come in ascending order: equal figures lie together and a written result is less than half as large.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ def _unit(series: DataFrame) -> DataFrame:
     return length.select("key", "n", unit.alias("u"), deviation.alias("deviation"))
 
 
-def _multiplied(path: str, chunks: int):
-    """The correlations of each pair of blocks; the task reads both from the shared folder, a chunk at a time."""
+def _multiplied(path: str, chunks: int, rows: int):
+    """The correlations of each pair of blocks, about ``rows`` of them at a time in ascending order; the task reads both blocks from the shared folder, a chunk at a time."""
 
     def run(batches):
         import pyarrow as pa
@@ -48,24 +49,38 @@ def _multiplied(path: str, chunks: int):
             values = table.column("u").combine_chunks()
             return table.column("key").combine_chunks(), values.flatten().to_numpy().reshape(len(values), -1)
 
+        def product(left, right):
+            total = 0.0
+            for chunk in range(chunks):
+                (a, x), (b, y) = own(chunk, left), read(chunk, right) if left != right else own(chunk, left)
+                total = total + x @ y.T
+            return a, b, total, np.triu(np.ones(total.shape, bool), 1) if left == right else np.ones(total.shape, bool)
+
+        def sorted_rows(parts):
+            a, names = parts[0][0], pa.concat_arrays([b for _, b, _, _ in parts])
+            corr, kept = (np.concatenate([p[k] for p in parts], axis=1).ravel() for k in (2, 3))
+            order = np.flatnonzero(kept)  # without a key's own and the second of each pair
+            order = order[np.argsort(corr[order])]
+            for k in range(0, len(order), 1 << 16):
+                some = order[k : k + (1 << 16)]
+                i, j = np.divmod(some, len(names))
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(i)), names.take(pa.array(j)), pa.array(np.clip(corr[some], -1.0, 1.0))], names=["a", "b", "corr"])
+
         for batch in batches:
+            parts, seen = [], None
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                total = 0.0
-                for chunk in range(chunks):
-                    (a, x), (b, y) = own(chunk, left), read(chunk, right) if left != right else own(chunk, left)
-                    total = total + x @ y.T
-                i, j = np.indices(total.shape)
-                before = i < np.searchsorted(a.to_numpy(False), b.to_numpy(False))  # keys in order, so the first so many of a are less
-                keep = before if left == right else np.ones(total.shape, bool)
-                i, j, before = i[keep], j[keep] + len(a), before[keep]
-                names = pa.concat_arrays([a, b])
-                ends = [names.take(pa.array(np.where(before, k, m))) for k, m in ((i, j), (j, i))]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(np.clip(total[keep], -1.0, 1.0))], names=["a", "b", "corr"])
+                if parts and (left != seen or sum(p[2].size for p in parts) >= rows):
+                    yield from sorted_rows(parts)
+                    parts = []
+                seen = left
+                parts.append(product(left, right))
+            if parts:
+                yield from sorted_rows(parts)
 
     return run
 
 
-def correlations(series: DataFrame, block: int = 256, chunk: int = 4096) -> DataFrame:
+def correlations(series: DataFrame, block: int = 256, chunk: int = 4096, rows: int = 1 << 22) -> DataFrame:
     """``a, b, corr`` for every two keys of ``series`` (``key, s``), a before b: Pearson's, 0 where one does not vary.
 
     All series have to be of one length, without nulls; otherwise an error is raised. Keys are not repeated.
@@ -77,17 +92,18 @@ def correlations(series: DataFrame, block: int = 256, chunk: int = 4096) -> Data
     if n and length != other:
         raise ValueError(f"series of {other} to {length} values")
     blocks, chunks = -(-n // block) or 1, -(-(length or 0) // chunk) or 1
-    placed = unit.select("key", "u", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    # the ranges are written, so a lost executor can't deal them anew
+    sided = scratch.table(unit.select("key", "u").repartitionByRange(blocks, "key").withColumn("side", F.spark_partition_id()), "sided")
+    placed = sided.select("key", "u", "side", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     placed = placed.select("key", F.slice("u", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("u"), "chunk", "side")
     path = scratch.path("blocks")
     placed.repartition("chunk", "side").write.partitionBy("chunk", "side").option("compression", "zstd").parquet(path)
-    scratch.drop("unit")
+    scratch.drop("unit", "sided")
     sides = spark.read.schema(placed.schema).parquet(path).select("side").distinct()  # a row a block, as all tables from here on
+    # a task has a block and those after it: the first tasks have most, at the most twice as much as on average
     left = spark.range(0, blocks, 1, blocks).toDF("left").join(F.broadcast(sides.toDF("left")), "left")
-    # blocks lie on a circle and each takes those less than half of it ahead, so every task has as many
-    ahead, behind = F.pmod(F.col("right") - F.col("left"), F.lit(blocks)), F.pmod(F.col("left") - F.col("right"), F.lit(blocks))
-    pairs = left.join(F.broadcast(sides.toDF("right")), (ahead < behind) | ((ahead == behind) & (F.col("left") <= F.col("right"))))
-    return pairs.mapInArrow(_multiplied(path, chunks), "a string, b string, corr double")
+    pairs = left.join(F.broadcast(sides.toDF("right")), F.col("left") <= F.col("right"))
+    return pairs.mapInArrow(_multiplied(path, chunks, rows), "a string, b string, corr double")
 
 
 def energy_shares(series: DataFrame, target: str, top: int = 2) -> DataFrame:

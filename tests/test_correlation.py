@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeflow.operators.correlation import correlations, energy_shares
 
@@ -61,3 +62,22 @@ def test_series_are_not_shuffled_for_each_pair(spark):
     found = correlations(rows, 4, 5).collect()  # 40 blocks, 3 chunks
     assert len({(r.a, r.b) for r in found}) == len(found) == 160 * 159 // 2
     assert moved(spark) - before < 3 * 160 * 3
+
+
+def test_a_task_gives_its_rows_in_ascending_order(spark):
+    """Equal figures have to lie together, else a result of pairs takes eight bytes a figure on disk."""
+    rng = np.random.default_rng(4)
+    rows = series(spark, {f"k{i:03d}": rng.normal(size=12) for i in range(60)})
+    tasks = {}
+    for r in correlations(rows, 8).withColumn("task", F.spark_partition_id()).collect():
+        tasks.setdefault(r.task, []).append(r)
+    assert len(tasks) > 4 and all(t == sorted(t, key=lambda r: r.corr) for t in tasks.values())
+    whole = sorted((r.a, r.b, r.corr) for t in tasks.values() for r in t)
+    assert len(whole) == 60 * 59 // 2 and all(a < b for a, b, _ in whole)
+    assert sorted(map(tuple, correlations(rows, 8, rows=100).collect())) == whole  # two pairs of blocks at a time
+
+
+def test_no_pair_is_lost_to_a_value_that_is_not_a_number(spark):
+    got = {(r.a, r.b): r.corr for r in correlations(series(spark, {"a": [1, 2, 4], "b": [1, float("nan"), 3], "c": [4, 2, 1], "d": [3, 1, 2]}), 2, rows=1).collect()}
+    assert sorted(got) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
+    assert all(np.isnan(c) == ("b" in pair) for pair, c in got.items())
